@@ -61,11 +61,16 @@ _COMPOSABLE = {
 }
 _MARKED = {chr(cp): mark_string(chr(cp)) for cp in _REGULAR if mark_string(chr(cp))}
 
+# Every character that can make a text irregular lies at or above this one, so most texts need no closer look.
+_FIRST_DOUBTFUL = min(cp for cp in range(0x300) if cp not in _REGULAR)
+_DOUBTFUL = f"[\\x{{{_FIRST_DOUBTFUL:x}}}-\\x{{10ffff}}]"
+# The mark is looked for first and its base letter second: marks are rare, base letters are not.
 IRREGULAR = "|".join(
     [f"[^{char_class(_REGULAR)}]"]
-    + [f"[{char_class(bases)}]\\x{{{mark:x}}}" for mark, bases in _COMPOSABLE.items()]
+    + [f"\\x{{{mark:x}}}(?<=[{char_class(bases)}]\\x{{{mark:x}}})" for mark, bases in _COMPOSABLE.items()]
 )
 _NOT_MARKED = f"[^{char_class(map(ord, _MARKED))}]+"
+_ASCII_RUN = r"[\x{0}-\x{7f}]+"
 
 
 @F.arrow_udf(T.StringType())
@@ -86,8 +91,12 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("combining_marks", marks_arrow)
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def is_irregular(text: Column) -> Column:
-    return text.rlike(IRREGULAR)
+    return F.when(is_ascii(text), False).otherwise(text.rlike(_DOUBTFUL) & text.rlike(IRREGULAR))
 
 
 def nfc(text: Column) -> Column:
@@ -97,7 +106,9 @@ def nfc(text: Column) -> Column:
 
 def marks_by_letter(text: Column) -> Column:
     """Combining marks of regular text."""
-    return F.translate(F.regexp_replace(text, _NOT_MARKED, ""), "".join(_MARKED), "".join(_MARKED.values()))
+    beyond_ascii = F.regexp_replace(text, _ASCII_RUN, "")
+    marked = F.regexp_replace(beyond_ascii, _NOT_MARKED, "")
+    return F.when(is_ascii(text), "").otherwise(F.translate(marked, "".join(_MARKED), "".join(_MARKED.values())))
 
 
 def combining_marks(text: Column) -> Column:

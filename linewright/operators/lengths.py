@@ -78,7 +78,9 @@ def exact_median(rows: DataFrame, by: list[str], value: Column, grain: float = 1
     Distinct fractions can be as many as rows, so the middle is found in two steps: a running sum over coarse steps of
     1/grain, then ranks among the distinct values of only the steps that hold the middle.
     """
-    counts = value_counts(rows, by, value).withColumn("step", F.floor(F.col("value") * grain))
+    # The filter is what the join below implies for its left side; stated here, both sides share one exchange.
+    step = F.floor(F.col("value") * grain)
+    counts = value_counts(rows, by, value).where(step.isNotNull()).withColumn("step", step)
     steps = with_ranks(
         counts.groupBy(*by, "step").agg(F.sum("n").alias("n")).withColumnRenamed("step", "value"), by
     ).withColumn("before", F.col("upto") - F.col("n"))
