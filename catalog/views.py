@@ -105,8 +105,9 @@ pairs as (
 _LETTERS = "éóèñçêüäöíÉÈÑÓÇÄÊÜÖÍ"
 _MARKS = "AAGTCXUUUAAGTACUXUUA"
 
-# The edit distance of the SQL side compares bytes, so each accented letter becomes one control character, and each
-# word of a pair one character. Pairs with more words than one-byte characters get a plain distance table instead.
+# The edit distance of the SQL side compares bytes, so each accented letter becomes one control character. Each word
+# both sides have becomes one character; words of one side only match nothing, so one character stands for all of them.
+# Pairs that share more words than there are one-byte characters get a plain distance table instead.
 SCORED = (
     PAIRS
     + f""",
@@ -118,9 +119,9 @@ tokens as (
     translate(regexp_replace(gt, '[^{_LETTERS}]', '', 'g'), '{_LETTERS}', '{_MARKS}') as gm
   from pairs
 ),
-vocabulary as (select *, list_distinct(list_concat(pw, gw)) as dw from tokens),
+vocabulary as (select *, list_intersect(pw, gw) as cw from tokens),
 wide as (select row_number() over (order by model, line_no) as id, model, line_no, pw, gw from vocabulary
-  where len(dw) > 90 and len(pw) > 0 and len(gw) > 0),
+  where len(cw) > 90 and pred <> gt),
 steps(id, i, j, d) as (
   select id, 0, j, j from wide, unnest(range(0, len(gw) + 1)) as b(j)
   union all
@@ -138,10 +139,13 @@ wide_edits as (
 edits as (
   select v.model, v.split, v.lang, v.line_no, v.pred, v.gt, length(v.gt) as gt_chars, len(v.pw) as pred_words,
     len(v.gw) as gt_words,
-    levenshtein(translate(v.pred, '{_LETTERS}ß', src), translate(v.gt, '{_LETTERS}ß', src)) as char_edits,
-    case when len(v.pw) = 0 or len(v.gw) = 0 then greatest(len(v.pw), len(v.gw)) when len(v.dw) <= 90 then
-      levenshtein(array_to_string(list_transform(v.pw, lambda x: chr((32 + list_position(v.dw, x))::int)), ''),
-                  array_to_string(list_transform(v.gw, lambda x: chr((32 + list_position(v.dw, x))::int)), ''))
+    case when v.pred = v.gt then 0
+      else levenshtein(translate(v.pred, '{_LETTERS}ß', src), translate(v.gt, '{_LETTERS}ß', src)) end as char_edits,
+    case when v.pred = v.gt then 0
+      when len(v.pw) = 0 or len(v.gw) = 0 then greatest(len(v.pw), len(v.gw))
+      when len(v.cw) <= 90 then levenshtein(
+        array_to_string(list_transform(v.pw, lambda x: chr(coalesce(34 + nullif(list_position(v.cw, x), 0), 33)::int)), ''),
+        array_to_string(list_transform(v.gw, lambda x: chr(coalesce(34 + nullif(list_position(v.cw, x), 0), 34)::int)), ''))
       else w.word_edits end as word_edits,
     levenshtein(v.pm, v.gm) as mark_edits, length(v.gm) as gt_marks, length(v.pm) as pred_marks
   from vocabulary v left join wide_edits w on v.model = w.model and v.line_no = w.line_no,
