@@ -155,15 +155,26 @@ def portable_path(path: Column, root: str) -> Column:
 # --- numbers --------------------------------------------------------------------------------------------------
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Decimal text with a fixed number of digits, rounded on the exact binary value, ties to even.
+
+    Half of the last digit itself is the one value that `format_number` does not round that way.
+    """
+    half = float(f"5e-{digits + 1}")
+    text = F.call_function("format_number", value, F.lit("0." + "0" * digits))
+    return (
+        F.when(value == half, f"{half:.{digits}f}").when(value == -half, f"{-half:.{digits}f}").otherwise(text)
+    )
+
+
 def round_n(value: Column, digits: int) -> Column:
-    """Rounding on the exact binary value, ties to even, as `round` of Python does it."""
-    return F.call_function("format_number", value, F.lit("0." + "0" * digits)).cast("double")
+    """Rounding as `round` of Python does it."""
+    return fixed(value, digits).cast("double")
 
 
 def pct(value: Column) -> Column:
     """A rate as a percentage with one decimal, never capped; a dash where there is no number."""
-    number = value.try_cast("double")
-    return F.coalesce(F.call_function("format_number", number * 100, F.lit("0.0")), F.lit("—"))
+    return F.coalesce(fixed(value.try_cast("double") * 100, 1), F.lit("—"))
 
 
 def at_least_one(n: Column) -> Column:

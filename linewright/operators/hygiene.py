@@ -77,32 +77,39 @@ def audit_totals(labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return would_drop(labels, limits).groupBy("rule").agg(F.sum("would_drop").alias("would_drop"))
 
 
-def first_examples(labels: DataFrame, condition: Column, shown: Column, n: int, order: list[str]) -> DataFrame:
-    """The first n rows per split, in file order, for which a condition holds."""
-    w = Window.partitionBy("split").orderBy(*order)
-    return (
-        labels.where(condition)
-        .select("split", *order, shown.alias("shown"))
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= n)
-        .select("split", "rank", "shown")
-    )
+EXAMPLES = {"label_too_short": 5, "label_too_long": 5, "image_too_tall": 10, "non_yoruba_codepoint": 20}
 
 
 def example_rows(labels: DataFrame, order: list[str], limits: Limits = Limits()) -> DataFrame:
-    """Examples per split and rule: 5 short texts, 5 long texts cut to 80 characters, 10 heights, 20 offending texts."""
-    rules = _rules(limits)
-    text, height = F.col("text"), F.col("height").cast("string")
-    parts = [
-        ("label_too_short", text, 5),
-        ("label_too_long", preview(text), 5),
-        ("image_too_tall", height, 10),
-    ]
-    out = None
-    for rule, shown, n in parts:
-        rows = first_examples(labels, rules[rule], shown, n, order).withColumn("offenders", F.lit(None).cast("string"))
-        rows = rows.withColumn("rule", F.lit(rule))
-        out = rows if out is None else out.unionByName(rows)
-    bad = first_examples(labels, rules["non_yoruba_codepoint"], text, 20, order)
-    bad = bad.withColumns({"offenders": offenders(F.col("shown")), "rule": F.lit("non_yoruba_codepoint")})
-    return out.unionByName(bad).select("rule", "split", "rank", "shown", "offenders")
+    """The first examples per split and rule, in file order: 5 short texts, 5 long texts cut to 80 characters,
+    10 heights, 20 texts with their offending characters.
+
+    Each row becomes one row per rule it breaks, so the labels are read once; only the first few per task are shuffled.
+    """
+    shown = {
+        "label_too_short": F.col("text"),
+        "label_too_long": preview(F.col("text")),
+        "image_too_tall": F.col("height").cast("string"),
+        "non_yoruba_codepoint": F.col("text"),
+    }
+    broken = F.array_compact(
+        F.array(
+            *[
+                F.when(condition, F.struct(F.lit(rule).alias("rule"), shown[rule].alias("shown")))
+                for rule, condition in _rules(limits).items()
+            ]
+        )
+    )
+    allowed = F.lit(0)
+    for rule, n in EXAMPLES.items():
+        allowed = F.when(F.col("rule") == rule, n).otherwise(allowed)
+    w = Window.partitionBy("rule", "split").orderBy(*order)
+    return (
+        labels.select("split", *order, F.explode(broken).alias("_b"))
+        .select("split", *order, "_b.rule", "_b.shown")
+        .withColumn("rank", F.row_number().over(w))
+        .where(F.col("rank") <= max(EXAMPLES.values()))
+        .where(F.col("rank") <= allowed)
+        .withColumn("offenders", F.when(F.col("rule") == "non_yoruba_codepoint", offenders(F.col("shown"))))
+        .select("rule", "split", "rank", "shown", "offenders")
+    )
