@@ -11,6 +11,7 @@ from linewright.functions.text import file_name
 from linewright.operators.charset import char_dictionary
 from linewright.operators.hygiene import Limits, drop_counts, split_counts, with_reason
 from linewright.operators.keep import last_export_wins
+from linewright.session import stage
 from linewright.sinks.corpus import char_dict_sink, label_sink, report_sink
 from linewright.sources.images import image_dims
 from linewright.sources.labels import EXPORT_DIR, parse_labels, read_exports
@@ -79,15 +80,12 @@ def run(
     limits: Limits = Limits(),
     export_dir: str = EXPORT_DIR,
 ) -> None:
-    """Consolidate a folder of exports: judged rows, label files, dictionary and report.
+    """Consolidate a folder of exports: label files, dictionary and report.
 
-    The judged rows are written once and read back, so the outputs do not scan the exports again each.
+    Judged and accepted rows are written once and read back, so the outputs do not scan the exports again each.
     """
-    labels = read_raw_labels(spark, raw_dir, export_dir)
-    judged_path = f"{out_dir.rstrip('/')}/judged"
-    with_reason(labels, limits).write.mode("overwrite").parquet(judged_path)
-    judged = spark.read.parquet(judged_path)
-    corpus = Corpus(judged, last_export_wins(judged.where("reason is null"), READING_ORDER))
+    judged = stage(with_reason(read_raw_labels(spark, raw_dir, export_dir), limits), "judged")
+    corpus = Corpus(judged, stage(last_export_wins(judged.where("reason is null"), READING_ORDER), "accepted"))
     label_sink(corpus.accepted, out_dir)
     char_dict_sink(char_dictionary(corpus.accepted), f"{out_dir.rstrip('/')}/dictionary")
     report_sink(report(corpus, judged, limits), report_path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linewright.operators.predict import batch_predict
 from linewright.operators.scoring import aggregate_scores, score_rows
+from linewright.session import stage
 from linewright.sinks.corpus import scored_rows_sink
 from linewright.sinks.runs import metrics_append, provenance_flag
 
@@ -26,9 +27,7 @@ def record(
     `provenance` is one row with the struct `provenance`, as `schema.SIDECAR` has it.
     """
     kept = scored.select("pred", "gt", "cer", "wer", "der", "mark_edits", "gt_marks", "pred_marks")
-    staged = f"{rows_path.rstrip('/')}-staged"
-    kept.write.mode("overwrite").parquet(staged)
-    stored = scored.sparkSession.read.parquet(staged)
+    stored = stage(kept, "scored")
     scored_rows_sink(stored, rows_path)
     flag = provenance.select(provenance_flag(F.col("provenance"))).scalar() if provenance is not None else None
     metrics = aggregate_scores(stored, []).select(

@@ -1,4 +1,7 @@
-"""Dataset analysis and quality audit of a consolidated corpus."""
+"""Dataset analysis and quality audit of a consolidated corpus.
+
+The corpus is exploded into characters once; the small table of counts is staged for all outputs that use it.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +10,12 @@ from pyspark.sql import functions as F
 
 from linewright.functions.text import word_len
 from linewright.operators import charset, hygiene, lengths
+from linewright.session import stage
 
 
 def analysis(labels: DataFrame, dictionary: DataFrame, order: list[str]) -> dict[str, DataFrame]:
     """Tables of the dataset analysis. `order` is the file order of `labels`."""
-    counts = charset.char_counts(labels, order=order)
+    counts = stage(charset.char_counts(labels, order=order), "characters")
     return {
         "split_counts": hygiene.split_counts(labels),
         "text_length": lengths.length_stats(labels, ["split"], F.length("text")),
@@ -25,7 +29,7 @@ def analysis(labels: DataFrame, dictionary: DataFrame, order: list[str]) -> dict
 
 def audit(labels: DataFrame, order: list[str], limits: hygiene.Limits = hygiene.Limits()) -> dict[str, DataFrame]:
     """Tables of the quality audit, per split. `labels` has `text`, `split`, `width`, `height`."""
-    counts = charset.char_counts(labels, by=["split"], order=order)
+    counts = stage(charset.char_counts(labels, by=["split"], order=order), "characters")
     by = ["split"]
 
     def profile(value) -> DataFrame:

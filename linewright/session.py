@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "linewright", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings every job here expects; the cluster's own settings win over none of them."""
+    """A session with the settings every job here expects; everything else stays as the cluster sets it."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -38,10 +38,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several outputs need to the shared folder and go on from there.
+
+    Its lineage ends at files every executor can read, so a lost executor costs no recomputation of what led to it.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition an input that was read in fewer pieces than there are cores.
+    """Repartition an input that was read in fewer pieces than there are cores, into enough pieces to even out.
 
     A cluster-sized input has far more scan splits than cores and passes through untouched, so no shuffle is added.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores * 4) if df.rdd.getNumPartitions() < cores else df
