@@ -305,6 +305,17 @@ def i06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return char_counts(labels(spark, sf_dir)).select("ch", cp.alias("cp"), t.codepoint_label(cp).alias("label"))
 
 
+@query(
+    "i07_codepoint_label",
+    sql("""
+select printf('U+%04X', unicode(ch)) as label, count(*) as n
+from (select unnest(string_split(text, '')) as ch from labels) where ch <> '' group by ch"""),
+)
+def i07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = char_counts(labels(spark, sf_dir))
+    return counts.select(t.codepoint_label(t.codepoint(F.col("ch"))).alias("label"), "n")
+
+
 @query("i09_sha256", "select doc_id, sha256(text) as digest from documents")
 def i09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("digest"))

@@ -67,15 +67,19 @@ def mark_counts(counts: DataFrame) -> DataFrame:
     named = codepoint_label(codepoint(F.col("mark")))
     for mark, name in MARK_NAMES.items():
         named = F.when(F.col("mark") == mark, name).otherwise(named)
-    return marks.select(named.alias("mark"), "n").rollup("mark").agg(F.sum("n").alias("n")).select(
-        F.coalesce("mark", F.lit("total")).alias("mark"), F.coalesce("n", F.lit(0)).alias("n")
-    )
+    return _with_total(marks.select(named.alias("mark"), "n"), "mark")
+
+
+def _with_total(rows: DataFrame, key: str) -> DataFrame:
+    """Sums per key and their `total`, which is 0 for no rows."""
+    sums = rows.groupBy(key).agg(F.sum("n").alias("n"))
+    total = sums.agg(F.lit("total").alias(key), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return sums.unionByName(total)
 
 
 def precomposed_counts(counts: DataFrame) -> DataFrame:
     """Listed precomposed letters by letter, and their `total`."""
-    kept = counts.where(F.col("ch").isin(*PRECOMPOSED)).rollup("ch").agg(F.sum("n").alias("n"))
-    return kept.select(F.coalesce("ch", F.lit("total")).alias("letter"), F.coalesce("n", F.lit(0)).alias("n"))
+    return _with_total(counts.where(F.col("ch").isin(*PRECOMPOSED)).select(F.col("ch").alias("letter"), "n"), "letter")
 
 
 def char_dictionary(labels: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,16 @@ def label_count(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.agg(F.count_if(strip(F.col(value)) != "").alias("n"))
 
 
+def label_count_or_default(spark: SparkSession, path: str, default: int = 500) -> DataFrame:
+    """Number of non-blank lines of a label file, or a default where there is no such file."""
+    try:
+        return label_count(spark.read.text(path))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.range(1).select(F.lit(default).cast("long").alias("n"))
+
+
 def read_char_dict(spark: SparkSession, path: str) -> DataFrame:
     """Distinct entries of a character dictionary; a line holding one space is an entry, an empty line is not."""
     return spark.read.text(path).where("value <> ''").select(F.col("value").alias("ch")).distinct()

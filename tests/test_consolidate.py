@@ -145,3 +145,22 @@ def test_leaks_and_inventory(spark):
     got = inventory(lines, ["split"]).first()
     assert tuple(got)[1:] == (3, 2, 1, 1, 2, 2, 2.0)
     assert charset.char_dictionary(spark.createDataFrame([(" ",)], "text string")).count() == 0
+
+
+def test_counts_of_absent_things(spark, tmp_path):
+    (tmp_path / "train.txt").write_text("a\tb\n \n\u00a0\nc\n")
+    assert source.label_count_or_default(spark, str(tmp_path / "train.txt")).first()["n"] == 2
+    assert source.label_count_or_default(spark, str(tmp_path / "none.txt")).first()["n"] == 500
+    plain = charset.char_counts(spark.createDataFrame([("abc",)], "text string"))
+    assert [tuple(r) for r in charset.mark_counts(plain).collect()] == [("total", 0)]
+    assert [tuple(r) for r in charset.precomposed_counts(plain).collect()] == [("total", 0)]
+    (tmp_path / "dict.txt").write_text("a\n \n\nb\na\n")
+    assert sorted(r["ch"] for r in source.read_char_dict(spark, str(tmp_path / "dict.txt")).collect()) == [" ", "a", "b"]
+
+
+def test_staged_tables_go_to_the_shared_folder(spark):
+    from linewright.session import scratch_dir, stage
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert scratch_dir(spark, "x").startswith(shared)
+    assert stage(spark.range(3), "y").inputFiles()[0].split(":", 1)[1].lstrip("/").startswith(shared.lstrip("/"))
