@@ -158,7 +158,7 @@ def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
     "f08_first_n_examples",
     sql(
         f"""
-select rule, split, rank, case rule when 'label_too_long' then substr(text, 1, 80) || '...'
+select rule, split, cast(rank as int) as rank, case rule when 'label_too_long' then substr(text, 1, 80) || '...'
     when 'image_too_tall' then cast(height as varchar) else text end as shown,
   case when rule = 'non_yoruba_codepoint' then array_to_string(list_sort(list_distinct(list_filter(string_split(text, ''),
     lambda x: not ({WHITELISTED.replace('text', 'x')})))), '') end as offenders
@@ -181,8 +181,8 @@ _WORDS = "len(list_filter(string_split(text, ' '), lambda x: x <> ''))"
 @query(
     "d03_length_stats",
     sql(f"""
-select split, count(*) as count, min(n) as min, max(n) as max, {rounded('avg(n)', 2)} as mean,
-  list_sort(list(n))[1 + count(*) // 2] as median, list_sort(list(n))[1 + cast(floor(count(*) * 0.95::double) as bigint)] as p95
+select split, count(*) as count, min(n)::int as min, max(n)::int as max, {rounded('avg(n)', 2)} as mean,
+  list_sort(list(n))[1 + count(*) // 2]::int as median, list_sort(list(n))[1 + cast(floor(count(*) * 0.95::double) as bigint)]::int as p95
 from (select split, length(text) as n from labels) group by split"""),
 )
 def d03(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +220,7 @@ for _name, (_expression, _value) in PROFILES.items():
 @query(
     "f06_rank_value",
     sql("""
-select lang, rank, list_sort(list(length(text)))[rank + 1] as value
+select lang, rank, list_sort(list(length(text)))[rank + 1]::int as value
 from labels, (values (0), (9), (99)) as r(rank) group by lang, rank"""),
 )
 def f06(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +337,7 @@ def e08(spark: SparkSession, sf_dir: str) -> DataFrame:
     "f07_first_seen_tie_order",
     sql(
         """
-select ch, n, row_number() over (order by n desc, seen) as place from (
+select ch, n, cast(row_number() over (order by n desc, seen) as int) as place from (
   select ch, count(*) as n, min(struct_pack(a := dir_name, b := split_ord, c := line_no, d := pos)) as seen from chars group by ch)""",
         CHARS,
     ),
@@ -375,7 +375,7 @@ def g04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charset.top_chars(charset.char_counts(labels(spark, sf_dir), order=ORDER), 30).select("ch", "n")
 
 
-@query("g05_codepoint_order", sql("select ch, row_number() over (order by unicode(ch)) as place from (select distinct ch from chars)", CHARS))
+@query("g05_codepoint_order", sql("select ch, cast(row_number() over (order by unicode(ch)) as int) as place from (select distinct ch from chars)", CHARS))
 def g05(spark: SparkSession, sf_dir: str) -> DataFrame:
     chars = charset.char_counts(labels(spark, sf_dir))
     return chars.select("ch", F.row_number().over(Window.orderBy("ch")).alias("place"))

@@ -326,7 +326,7 @@ def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "e10_completeness_check",
     """
-select d.doc_id as path, coalesce(quality + 1, 0) as items, l.doc_id is not null as present
+select d.doc_id as path, coalesce(quality + 1, 0)::bigint as items, l.doc_id is not null as present
 from documents d left join labels l on l.doc_id = d.doc_id""",
 )
 def e10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,8 +389,8 @@ def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql(
         f"""
 select split, count(*) as lines_in_file, count(text) as tab_parsed_rows, count(text) filter (has_image) as pairs_with_existing_image,
-  count(text) filter (not has_image) as missing_image, min(length(text)) filter (has_image) as char_len_min,
-  max(length(text)) filter (has_image) as char_len_max, {rounded('avg(length(text)) filter (has_image)', 4)} as char_len_mean
+  count(text) filter (not has_image) as missing_image, (min(length(text)) filter (has_image))::int as char_len_min,
+  (max(length(text)) filter (has_image))::int as char_len_max, {rounded('avg(length(text)) filter (has_image)', 4)} as char_len_mean
 from parsed group by split""",
         INVENTORY,
     ),
@@ -648,7 +648,7 @@ def _sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     "b06_provenance_sink",
     """
 select source as model, 'test' as split, count(*) as n, case when min(doc_id) % 2 = 0 then 'n/a' else 'true' end as phantom,
-  sha256(source) as checkpoint_sha256, 2 as bad_head
+  sha256(source) as checkpoint_sha256, 2::bigint as bad_head
 from documents group by source""",
 )
 def b06(spark: SparkSession, sf_dir: str) -> DataFrame:

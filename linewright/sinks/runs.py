@@ -25,7 +25,7 @@ def metrics_append(rows: DataFrame, path: str) -> None:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         header = list(METRICS_COLUMNS)
-    align_columns(rows, header).coalesce(1).write.mode("append").csv(path, header=True, emptyValue="")
+    align_columns(rows, header).write.mode("append").csv(path, header=True, emptyValue="")
 
 
 def with_digest(files: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ def test_validity(spark):
         "bàbá": True,
         "ſtó": True,
         "iſ": False,  # long s matches s without regard to case
+        "ın": False,  # and so do both special i
+        "İn": False,
     }
     df = spark.createDataFrame(list(cases.items()), "v string, expected boolean")
     for row in df.select("v", "expected", t.is_valid_text(F.col("v")).alias("r")).collect():
