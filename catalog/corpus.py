@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.text import INVALID, JUDGED, WHITELISTED
+from catalog.text import JUDGED, WHITELISTED
 from catalog.views import LABELS, ORDER, documents, labels, rounded, sql, table
 from linewright.constants import BLOCKS, MARK_NAMES, OTHER_BLOCK, PRECOMPOSED
 from linewright.functions.text import word_len
-from linewright.operators import charset, hygiene, keep, lengths, sampling
+from linewright.operators import charset, hygiene, lengths, sampling
 from linewright.operators.audit import leaks
 from linewright.plans.consolidate import consolidate, report
 

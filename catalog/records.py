@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from catalog.corpus import ACCEPTED, corpus
 from catalog.registry import query
 from catalog.text import LINES, label_lines
-from catalog.views import LABELS, PAIRS, documents, labels, pairs, rounded, sql, table
+from catalog.views import PAIRS, documents, labels, pairs, rounded, sql, table
 from linewright.functions.text import classify_param, phantom_flag
 from linewright.operators import audit, charset, export, keep, runs, sampling, scoring
 from linewright.session import scratch_dir
