@@ -1,0 +1,22 @@
+"""The numbered queries of this subpackage, with the SQL that must give the same rows where SQL can express them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(build: Query) -> Query:
+        QUERIES[name] = build
+        if sql is not None:
+            ORACLES[name] = sql
+        return build
+
+    return add
