@@ -43,7 +43,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 def normalised(texts: pa.Array) -> tuple[pa.Array, list[str]]:
     """The texts with A-Z lower-cased (places stay), and ` word word ... ` of each, or one blank if it has no word."""
-    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    low = pc.ascii_lower(words.plain(texts))
     spaced = pc.ascii_trim(pc.replace_substring_regex(low, BETWEEN, " "), " ").to_pylist()
     return low, [f" {s} " if s else " " for s in spaced]
 

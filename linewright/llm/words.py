@@ -28,9 +28,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             start = end
 
 
+def plain(text: pa.Array) -> pa.Array:
+    """Texts without nulls, in an array that starts at its buffers' start: `ascii_lower` misreads arrays that do not."""
+    text = pc.fill_null(text.cast(pa.large_string()), "")
+    return text.take(pa.array(np.arange(len(text)))) if text.offset else text
+
+
 def split(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
     """Number of words of each text, and all words in order. Words: runs of anything but ASCII white space; null: none."""
-    text = pc.fill_null(text.cast(pa.large_string()), "")
+    text = plain(text)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
     words = lists.flatten()
     filled = pc.not_equal(words, "")
