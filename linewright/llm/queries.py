@@ -5,8 +5,10 @@ from __future__ import annotations
 import linewright.llm.decontamination  # noqa: F401
 import linewright.llm.near_dedup  # noqa: F401
 import linewright.llm.packing  # noqa: F401
+import linewright.llm.quality_classifier  # noqa: F401
 import linewright.llm.quality_rules  # noqa: F401
 import linewright.llm.secret_scans  # noqa: F401
+import linewright.llm.toxicity  # noqa: F401
 import linewright.llm.url_filters  # noqa: F401
 from linewright.llm.registry import ORACLES, QUERIES
 
