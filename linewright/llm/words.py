@@ -29,9 +29,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
 
 
 def plain(text: pa.Array) -> pa.Array:
-    """Texts without nulls, in an array that starts at its buffers' start: `ascii_lower` misreads arrays that do not."""
+    """Texts without nulls, copied so that they start at their buffers' start: `ascii_lower` misreads arrays that do not."""
     text = pc.fill_null(text.cast(pa.large_string()), "")
-    return text.take(pa.array(np.arange(len(text)))) if text.offset else text
+    return text.take(pa.array(np.arange(len(text))))
 
 
 def split(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
