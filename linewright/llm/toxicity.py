@@ -157,11 +157,12 @@ def trained(docs: DataFrame, labels: DataFrame) -> Machine:
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, score."""
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    sent = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.feature_of, machine.weights, machine.factors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Machine(*sent.value)
         for batch in words.slices(batches, "text"):
-            score = logistic(sent.value.logits(batch.num_rows, *marked(batch.column(1), sent.value.feature_of)))
+            score = logistic(own.logits(batch.num_rows, *marked(batch.column(1), own.feature_of)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
