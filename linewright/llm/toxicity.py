@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text: its words, A-Z lower-cased and without signs at their ends, and the words' first 5, 6 and 7 letters,
-hashed into `BUCKETS` places. A document is the set of its places. Its score is the logistic of bias + sum of weights +
+Terms of a text: its words in lower case, without signs at their ends, and the words' first 4 to 9 letters, hashed into
+`BUCKETS` places. A document is the set of its places. Its score is the logistic of bias + sum of weights +
 sum over all pairs of places of the products of their factor vectors, so a pair (an insult with a mention of a group) can
 weigh what neither of its parts does; the pairs cost one pass, as the sum over pairs is half of (sum of vectors) squared
 minus the sum of squared vectors.
@@ -37,20 +37,20 @@ BUCKETS = 1 << 18
 SAMPLE = 5_000
 PLACES = 2_048
 FACTORS = 4
+PREFIXES = (4, 5, 6, 7, 8, 9)
 EDGES = ".,;:!?\"'()[]{}<>|#$%&*-_+=/\\"
 
 
 def places_of_words(distinct: pa.Array) -> np.ndarray:
-    """For each distinct word the places of its four terms (an absent term repeats the word)."""
+    """For each distinct word the places of its terms (an absent term repeats the word)."""
     import xxhash
 
-    place = np.empty((len(distinct), 4), np.int32)
+    place = np.empty((len(distinct), 1 + len(PREFIXES)), np.int32)
     h = xxhash.xxh3_64_intdigest
     for i, w in enumerate(distinct.to_pylist()):
-        w = w.strip(EDGES) or w
-        whole = h(w.encode()) % BUCKETS
-        place[i] = whole
-        for j, n in ((1, 5), (2, 6), (3, 7)):
+        w = w.lower().strip(EDGES) or w
+        place[i] = h(w.encode()) % BUCKETS
+        for j, n in enumerate(PREFIXES, 1):
             if len(w) > n:
                 place[i, j] = h(f"{n}:{w[:n]}".encode()) % BUCKETS
     return place
@@ -101,7 +101,7 @@ def screened(rows: np.ndarray, places: np.ndarray, label: np.ndarray, most: int
     return np.sort(best[z[best] > 2.5])
 
 
-def fit(rows: np.ndarray, places: np.ndarray, label: np.ndarray, shift: float, passes: int = 120, rate: float = 0.2, ridge: float = 2e-4, seed: int = 3) -> Machine:
+def fit(rows: np.ndarray, places: np.ndarray, label: np.ndarray, shift: float, passes: int = 300, rate: float = 0.2, ridge: float = 5e-5, seed: int = 3) -> Machine:
     """Full-batch AdaGrad on the mean logistic loss with a ridge penalty."""
     kept = screened(rows, places, label)
     feature_of = np.full(BUCKETS, -1, np.int32)
