@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from catalog.corpus import ACCEPTED, corpus
 from catalog.registry import query
 from catalog.text import LINES, label_lines
-from catalog.views import PAIRS, documents, labels, pairs, rounded, sql, table
+from catalog.views import PAIRS, SCORED, documents, labels, pairs, rounded, sql, table
 from linewright.functions.text import classify_param, phantom_flag
 from linewright.operators import audit, charset, export, keep, runs, sampling, scoring
 from linewright.session import scratch_dir
@@ -448,17 +448,31 @@ def b07_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.skipped_lines(parsed_lines(spark, sf_dir))
 
 
-_IDS = "sha256(string_agg(regexp_replace(regexp_replace(rel_path, '.*/', ''), '[.]png$', ''), chr(10) order by line_no) filter (text is not null and has_image))"
+def digest_tree(source: str) -> str:
+    """SQL of the digest tree over a table with `split`, `no`, `part`; its root is the table `t5`."""
+    levels, below = [], source
+    for k in range(1, export.LEVELS + 1):
+        levels.append(
+            f"t{k} as (select split, no // {export.FAN_IN} as no, sha256(string_agg(part, chr(10) order by no)) as part "
+            f"from {below} group by split, no // {export.FAN_IN})"
+        )
+        below = f"t{k}"
+    return ",\n".join(levels)
 
 
 @query(
     "b08_export_manifest",
     sql(
-        f"""
-select split, count(text) filter (has_image) as exported, count(*) filter (text is null) as skipped_malformed,
-  count(text) filter (not has_image) as skipped_missing_image, {_IDS} as ids_sha256
-from parsed group by split""",
-        INVENTORY,
+        """
+select p.split, count(text) filter (has_image) as exported, count(*) filter (text is null) as skipped_malformed,
+  count(text) filter (not has_image) as skipped_missing_image, any_value(t5.part) as ids_sha256
+from parsed p left join t5 on t5.split = p.split group by p.split""",
+        INVENTORY
+        + """,
+ids as (select split, line_no as no, regexp_replace(regexp_replace(rel_path, '.*/', ''), '[.]png$', '') as part
+  from parsed where text is not null and has_image),
+"""
+        + digest_tree("ids"),
     ),
 )
 def b08(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,41 +480,36 @@ def b08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.export_manifest(lines, export.chat_samples(lines, "/repo/data", "/repo", PROMPT))
 
 
-@query("d19_ordered_ids_hash", "select role as split, sha256(string_agg(conv_id || '-' || turn, chr(10) order by conv_id, turn)) as ids_sha256 from conversations group by role")
-def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "conversations").select(
+_TURNS = "ids as (select role as split, {no} as no, conv_id || '-' || turn as part from conversations),\n"
+
+
+def turn_ids(spark: SparkSession, sf_dir: str, no: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
         F.col("role").alias("split"),
-        F.struct("conv_id", "turn").alias("line_no"),
+        F.expr(no).alias("line_no"),
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
     )
-    return export.ordered_ids_hash(ids)
 
 
-@query(
-    "d19_chunked_ids_hash",
-    """
-select split, sha256(string_agg(digest, chr(10) order by run)) as ids_chunked_sha256 from (
-  select role as split, (conv_id * 1000 + turn) // 100000 as run,
-    sha256(string_agg(conv_id || '-' || turn, chr(10) order by conv_id, turn)) as digest from conversations group by 1, 2)
-group by split""",
-)
+@query("d19_ordered_ids_hash", "with " + _TURNS.format(no="conv_id * 1000 + turn") + digest_tree("ids") + "\nselect split, part as ids_sha256 from t5")
+def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.ids_digest(turn_ids(spark, sf_dir, "conv_id * 1000 + turn"))
+
+
+@query("d19_chunked_ids_hash", "with " + _TURNS.format(no="conv_id * 1000000000 + turn") + digest_tree("ids") + "\nselect split, part as ids_chunked_sha256 from t5")
 def d19_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "conversations").select(
-        F.col("role").alias("split"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"),
-        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
-    )
-    return export.chunked_ids_hash(ids)
+    """The same over numbers with wide gaps."""
+    return export.ids_digest(turn_ids(spark, sf_dir, "conv_id * 1000000000 + turn"), "ids_chunked_sha256")
 
 
 @query(
     "b11_review_sample",
     sql("""
 select rel_path as relative_path, '/repo/data/' || rel_path as absolute_path, text as gt, cast(length(text) as int) as gt_char_len
-from labels order by md5('42' || line_no), line_no limit 20"""),
+from labels where has_image order by md5('42' || line_no), line_no limit 20"""),
 )
 def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.review_sample(labels(spark, sf_dir), "line_no", 20, 42, "/repo/data")
+    return sampling.review_sample(labels(spark, sf_dir).where("has_image"), "line_no", 20, 42, "/repo/data")
 
 
 # --- file round trips -----------------------------------------------------------------------------------------
@@ -549,21 +558,22 @@ def a08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "b05_sample_jsonl_sink",
-    sql("select pred, gt, count(*) as n from pairs where model = 'noisy' group by pred, gt", PAIRS),
+    sql("select pred, gt, round(cer, 6) as cer, round(wer, 6) as wer, round(der, 6) as der, count(*) as n from scored group by all", SCORED),
 )
 def b05(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "scored")
-    corpus_sinks.scored_rows_sink(scoring.score_rows(pairs(spark, sf_dir).where("model = 'noisy'")), path)
-    return records.read_scored_rows(spark, path).groupBy("pred", "gt").agg(F.count("*").alias("n"))
+    corpus_sinks.scored_rows_sink(scoring.score_rows(pairs(spark, sf_dir)), path)
+    rows = records.read_scored_rows(spark, path).withColumns({m: F.round(m, 6) for m in ("cer", "wer", "der")})
+    return rows.groupBy("pred", "gt", "cer", "wer", "der").agg(F.count("*").alias("n"))
 
 
 @query(
     "a06_sample_jsonl_scan",
-    sql("select count(*) as n, 0::bigint as mismatches from pairs where model = 'fold'", PAIRS),
+    sql("select count(*) as n, 0::bigint as mismatches from pairs", PAIRS),
 )
 def a06(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "replayed")
-    corpus_sinks.scored_rows_sink(scoring.score_rows(pairs(spark, sf_dir).where("model = 'fold'")), path)
+    corpus_sinks.scored_rows_sink(scoring.score_rows(pairs(spark, sf_dir)), path)
     return scoring.replay_mismatches(records.read_scored_rows(spark, path)).select("n", "mismatches")
 
 

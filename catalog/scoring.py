@@ -133,13 +133,12 @@ def d26(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BY_MODEL = SCORED + f""",
 per_model as (select model, {_AGGREGATES} from scored group by model),
-reported as (select * from per_model where model <> 'identity')"""
+reported as (select * from per_model)"""
 _REPORTED = ("spurious", "noisy", "fold", "empty")
 
 
 def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs(spark, sf_dir).where("model <> 'identity'")
-    return scoring.aggregate_scores(scoring.score_rows(rows), ["model"])
+    return scoring.aggregate_scores(scored(spark, sf_dir), ["model"])
 
 
 @query(

@@ -12,7 +12,6 @@ from linewright.functions import text as t
 from linewright.functions.unicode import combining_marks, nfc, register
 from linewright.operators.charset import char_counts
 from linewright.operators.hygiene import with_reason
-from linewright.session import spread
 from linewright.sources.labels import malformed_labels, parse_labels
 
 # --- normalisation --------------------------------------------------------------------------------------------
@@ -248,7 +247,7 @@ from bare""",
 )
 def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _ANSWER.format(nbsp="'\u00a0'").replace("chr(10)", "'\n'")
-    answers = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.expr(raw).alias("raw"))
+    answers = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(raw).alias("raw"))
     return answers.select("conv_id", "turn", t.clean_transcript(F.col("raw")).alias("transcript"))
 
 

@@ -139,7 +139,7 @@ def file_name(path: Column) -> Column:
 
 def sample_id(path: Column) -> Column:
     """Last path component without its extension: the id under which a sample is exported."""
-    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*\z", "")
+    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]+\z", "")
 
 
 def forward_slashes(path: Column) -> Column:
@@ -168,13 +168,15 @@ def fixed(value: Column, digits: int) -> Column:
 
 
 def round_n(value: Column, digits: int) -> Column:
-    """Rounding as `round` of Python does it."""
-    return fixed(value, digits).cast("double")
+    """Rounding as `round` of Python does it; infinite values and NaN stay."""
+    finite = F.when(F.abs(value) < float("inf"), value)
+    return F.coalesce(fixed(finite, digits).cast("double"), value)
 
 
 def pct(value: Column) -> Column:
-    """A rate as a percentage with one decimal, never capped; a dash where there is no number."""
-    return F.coalesce(fixed(value.try_cast("double") * 100, 1), F.lit("—"))
+    """A rate as a percentage with one decimal, never capped; a dash where there is no number, or an infinite one."""
+    number = value.try_cast("double")
+    return F.coalesce(fixed(F.when(F.abs(number) < float("inf"), number) * 100, 1), F.lit("—"))
 
 
 def at_least_one(n: Column) -> Column:

@@ -87,17 +87,22 @@ def distinct_splits(log: DataFrame) -> DataFrame:
     return log.select(F.coalesce("split", F.lit("test")).alias("split")).distinct().orderBy("split")
 
 
-def expected_counts(pairs: DataFrame) -> DataFrame:
-    """Scorable pairs per split."""
-    return pairs.groupBy("split").agg(F.count("*").alias("expected_pairs"))
+def expected_counts(pairs: DataFrame, splits: tuple[str, ...] = ()) -> DataFrame:
+    """Scorable pairs per split. `splits` are those that have a label file: without any usable pair they count 0."""
+    counted = pairs.groupBy("split").agg(F.count("*").alias("expected_pairs"))
+    if not splits:
+        return counted
+    listed = pairs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, splits))).alias("split"))
+    return listed.join(counted, "split", "left").withColumn("expected_pairs", F.coalesce("expected_pairs", F.lit(0)))
 
 
 def alignment_mismatches(log: DataFrame, expected: DataFrame, known: tuple[str, ...] = SPLITS) -> DataFrame:
     """Log rows whose `n` differs from the expected count of their split.
 
-    A blank `n` counts as 0; a row with an unreadable `n` or of an unknown split is passed over.
+    A blank `n` counts as 0; a row with an unreadable `n`, or of a blank or unknown split, is passed over. Only a log
+    without the column `split` is one of test rows.
     """
-    split = F.coalesce("split", F.lit("test"))
+    split = F.col("split") if "split" in log.columns else F.lit("test")
     blank = F.coalesce(F.col("n").cast("string"), F.lit("")) == ""
     # Signs, blanks around and digit grouping are accepted; fractions are not whole counts.
     written = F.regexp_replace(F.trim(F.col("n").cast("string")), r"(?<=\d)_(?=\d)", "")
@@ -105,7 +110,8 @@ def alignment_mismatches(log: DataFrame, expected: DataFrame, known: tuple[str,
     rows = log.select("model", split.alias("split"), reported.alias("reported_n"))
     return (
         rows.where(F.col("reported_n").isNotNull() & F.col("split").isin(*known))
-        .join(expected, "split")
+        # at most one row per known split, so the log stays where it is
+        .join(F.broadcast(expected.where(F.col("split").isin(*known))), "split")
         .where("reported_n <> expected_pairs")
         .select("model", "split", "reported_n", "expected_pairs")
     )

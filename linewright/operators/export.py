@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,49 +38,22 @@ def skipped_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def ordered_ids_hash(ids: DataFrame) -> DataFrame:
-    """SHA-256 of the newline-joined ids of each split, in line order.
+FAN_IN = 4096
+LEVELS = 5  # 4096 ** 5 is above every line number
 
-    A SHA-256 chain has to see the ids one after the other, so the last step is one task by definition. It is handed
-    sorted range partitions in turn and holds one batch of ids and one digest per split, never a split's ids.
-    """
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests: dict[str, "hashlib._Hash"] = {}
-        for batch in batches:
-            for split, sample in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if split in digests:
-                    digests[split].update(b"\n")
-                else:
-                    digests[split] = hashlib.sha256()
-                digests[split].update(sample.encode("utf-8"))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(digests), pa.string()),
-                pa.array([d.hexdigest() for d in digests.values()], pa.string()),
-            ],
-            names=["split", "ids_sha256"],
-        )
-
-    ordered = ids.select("split", "line_no", "id").orderBy("split", "line_no").select("split", "id")
-    return ordered.coalesce(1).mapInArrow(chain, "split string, ids_sha256 string")
-
-
-def chunked_ids_hash(ids: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """An order-sensitive digest that needs no serial step: the digest of the digests of runs of line numbers.
-
-    For ids too many for `ordered_ids_hash`; its value is its own and does not equal that digest.
+def ids_digest(ids: DataFrame, name: str = "ids_sha256") -> DataFrame:
+    """An order-sensitive digest of the ids of each split, by a tree that no task sees more than `FAN_IN` children of.
+
+    SHA-256 of the newline-joined ids of each run of FAN_IN line numbers, then of the digests of each FAN_IN runs, and so
+    on. `line_no` is unique within a split; gaps in the numbers leave runs out and gather nothing more in the others.
     """
-    runs = ids.groupBy("split", F.floor(F.col("line_no") / chunk).alias("run")).agg(
-        F.sha2(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "id"))), lambda x: x["id"]), "\n"), 256
-        ).alias("digest")
-    )
-    return runs.groupBy("split").agg(
-        F.sha2(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "digest"))), lambda x: x["digest"]), "\n"), 256
-        ).alias("ids_chunked_sha256")
-    )
+    level = ids.select("split", F.col("line_no").alias("no"), F.col("id").alias("part"))
+    for _ in range(LEVELS):
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("no", "part"))), lambda x: x["part"])
+        run = F.expr(f"no div {FAN_IN}").alias("run")
+        level = level.groupBy("split", run).agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("part")).withColumnRenamed("run", "no")
+    return level.select("split", F.col("part").alias(name))
 
 
 def export_manifest(lines: DataFrame, samples: DataFrame) -> DataFrame:
@@ -94,6 +63,6 @@ def export_manifest(lines: DataFrame, samples: DataFrame) -> DataFrame:
         F.count_if(F.col("reason") == "not_two_tab_fields").alias("skipped_malformed"),
         F.count_if(F.col("reason") == "missing_image").alias("skipped_missing_image"),
     )
-    return counted.join(ordered_ids_hash(samples), "split", "left").withColumn(
+    return counted.join(ids_digest(samples), "split", "left").withColumn(
         "ids_sha256", F.coalesce("ids_sha256", F.sha2(F.lit("").cast("binary"), 256))
     )

@@ -9,22 +9,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def batch_predict(rows: DataFrame, recognise: Callable[[str], str], source: str = "path") -> DataFrame:
+def batch_predict(
+    rows: DataFrame, recognise: Callable[[str], str] | Callable[[list[str]], list[str]], source: str = "path", batched: bool = False
+) -> DataFrame:
     """Apply a recogniser to one column and keep the reference text; a row it fails on gets "" and `failed`.
 
+    A `batched` recogniser takes a list of sources and returns as many answers. Only if it fails on a batch, or returns
+    another number, are the rows of that batch given to it one by one. An answer of None is a failure.
+
     `rows` has `id`, `gt`, the source column and any columns to carry along.
     """
     carried = [c for c in rows.columns if c not in ("pred", "failed")]
 
+    def settled(answer: str | None) -> tuple[str, bool]:
+        return ("", True) if answer is None else (answer, False)
+
     def attempt(value: str) -> tuple[str, bool]:
         try:
-            return recognise(value), False
+            return settled(recognise([value])[0] if batched else recognise(value))
         except Exception:
             return "", True
 
+    def attempt_all(values: list[str]) -> list[tuple[str, bool]]:
+        if batched and values:
+            try:
+                answers = recognise(values)
+                if len(answers) == len(values):
+                    return [settled(a) for a in answers]
+            except Exception:
+                pass
+        return [attempt(v) for v in values]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            answers = [attempt(v) for v in frame[source]]
+            answers = attempt_all(frame[source].tolist())
             yield frame.assign(pred=[a[0] for a in answers], failed=[a[1] for a in answers])
 
     schema = rows.select(*carried, F.lit("").alias("pred"), F.lit(False).alias("failed")).schema

@@ -33,6 +33,8 @@ def score_rows(pairs: DataFrame) -> DataFrame:
 
 
 def _with_rates(pairs: DataFrame, wanted: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    # a lost prediction is an empty one, and counts
+    pairs = pairs.withColumn("pred", F.coalesce("pred", F.lit("")))
     counted = pairs.withColumns({f"_{m}": errors(F.col("pred"), F.col("gt")) for m, errors in wanted.items()})
     rates = {m: rate(F.col(f"_{m}")) for m in wanted}
     if "der" in wanted:
@@ -66,14 +68,18 @@ def macro_rates(scored: DataFrame, by: list[str]) -> DataFrame:
 
 def aggregate_scores(scored: DataFrame, by: list[str]) -> DataFrame:
     """One metrics row per group, in one pass; without groups also for no rows at all."""
-    return scored.groupBy(*by).agg(
+    return scored.groupBy(*by).agg(*metric_columns())
+
+
+def metric_columns() -> list[Column]:
+    return [
         F.count("*").alias("n"),
         round_n(F.avg("cer"), 4).alias("cer"),
         round_n(F.avg("wer"), 4).alias("wer"),
         round_n(micro_der(), 4).alias("der"),
         F.count_if(F.col("gt_marks") > 0).alias("der_n"),
         round_n(der_insertion_rate(), 4).alias("der_insertion_rate"),
-    )
+    ]
 
 
 def macro_der(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -154,7 +160,7 @@ def identity_check(labels: DataFrame, by: list[str]) -> DataFrame:
     """Aggregates of the reference texts scored against themselves, and the rows that are not error-free."""
     scored = score_rows(labels.withColumns({"pred": F.col("gt")}))
     bad = (F.col("cer") > 1e-9) | (F.col("wer") > 1e-9) | (F.col("der") > 1e-9)
-    return aggregate_scores(scored, by).join(scored.groupBy(*by).agg(F.count_if(bad).alias("bad_rows")), by)
+    return scored.groupBy(*by).agg(*metric_columns(), F.count_if(bad).alias("bad_rows"))
 
 
 def require_identity(labels: DataFrame) -> None:

@@ -13,7 +13,7 @@ from linewright.operators.hygiene import Limits, drop_counts, split_counts, with
 from linewright.operators.keep import last_export_wins
 from linewright.session import stage
 from linewright.sinks.corpus import char_dict_sink, label_sink, report_sink
-from linewright.sources.images import image_dims
+from linewright.sources.images import image_dims, tidy_path
 from linewright.sources.labels import EXPORT_DIR, parse_labels, read_exports
 from linewright.sources.lines import LINE_ORDER
 
@@ -35,13 +35,19 @@ def consolidate(labels: DataFrame, order: list[str], limits: Limits = Limits())
     return Corpus(judged, last_export_wins(judged.where("reason is null"), order))
 
 
-def read_raw_labels(spark: SparkSession, raw_dir: str, export_dir: str = EXPORT_DIR) -> DataFrame:
-    """Label rows of all exports under a folder, joined to their images by path."""
+def read_raw_labels(
+    spark: SparkSession, raw_dir: str, export_dir: str = EXPORT_DIR, inventory: DataFrame | None = None
+) -> DataFrame:
+    """Label rows of all exports under a folder, joined to their images by path.
+
+    `inventory` (`path`, `height`) names the images that exist; without it the files under the folder are listed.
+    """
     rows = parse_labels(read_exports(spark, raw_dir, export_dir))
     image_path = F.concat(F.regexp_replace("file_path", r"/labels/[^/]*\.txt(?:/[^/]*)?$", "/"), "rel_path")
-    dims = image_dims(spark, raw_dir).select("path", "height", F.lit(True).alias("has_image"))
+    images = image_dims(spark, raw_dir) if inventory is None else inventory.withColumn("path", tidy_path(F.col("path")))
+    dims = images.groupBy("path").agg(F.max("height").alias("height"), F.lit(True).alias("has_image"))
     return (
-        rows.withColumns({"path": image_path, "file_name": file_name(F.col("rel_path"))})
+        rows.withColumns({"path": tidy_path(image_path), "file_name": file_name(F.col("rel_path"))})
         .join(dims, "path", "left")
         .withColumn("has_image", F.coalesce("has_image", F.lit(False)))
     )
@@ -49,17 +55,19 @@ def read_raw_labels(spark: SparkSession, raw_dir: str, export_dir: str = EXPORT_
 
 def report(corpus: Corpus, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row: exports, corpus size, split counts, dictionary size, limits and drop counts."""
-    splits = split_counts(corpus.accepted).agg(F.map_from_entries(F.collect_list(F.struct("split", "n"))))
+    # one pass over the accepted rows; there are as many splits as label files of an export
+    splits = split_counts(corpus.accepted).agg(
+        F.map_from_entries(F.collect_list(F.struct("split", "n"))).alias("splits"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")
+    ).select(F.struct("splits", "total"))
     drops = drop_counts(corpus.judged).agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))))
     exports = labels.agg(F.array_sort(F.collect_set("export_id")))
     chars = char_dictionary(corpus.accepted).agg(F.count("*"))
-    total = corpus.accepted.agg(F.count("*"))
     base = corpus.judged.sparkSession.range(1)
     return base.select(
         F.lit("consolidate").alias("stage"),
         exports.scalar().alias("export_ids"),
-        total.scalar().alias("unique_images_total"),
-        splits.scalar().alias("split_counts"),
+        splits.scalar()["total"].alias("unique_images_total"),
+        splits.scalar()["splits"].alias("split_counts"),
         chars.scalar().alias("char_dict_size"),
         F.struct(
             F.lit(limits.hygiene).alias("enabled"),
@@ -79,12 +87,13 @@ def run(
     report_path: str,
     limits: Limits = Limits(),
     export_dir: str = EXPORT_DIR,
+    inventory: DataFrame | None = None,
 ) -> None:
     """Consolidate a folder of exports: label files, dictionary and report.
 
     Judged and accepted rows are written once and read back, so the outputs do not scan the exports again each.
     """
-    judged = stage(with_reason(read_raw_labels(spark, raw_dir, export_dir), limits), "judged")
+    judged = stage(with_reason(read_raw_labels(spark, raw_dir, export_dir, inventory), limits), "judged")
     corpus = Corpus(judged, stage(last_export_wins(judged.where("reason is null"), READING_ORDER), "accepted"))
     label_sink(corpus.accepted, out_dir)
     char_dict_sink(char_dictionary(corpus.accepted), f"{out_dir.rstrip('/')}/dictionary")

@@ -30,10 +30,13 @@ def build_session(app: str = "linewright", master: str | None = None, **conf: st
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared `spark.checkpoint.dir`.
 
-    Only where that setting is absent (tests on one machine) does it fall back to a local temporary folder.
+    Where that setting is absent, a session on one machine takes a local temporary folder; on a cluster it raises, because
+    executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = os.path.join(tempfile.gettempdir(), "linewright-scratch")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -47,11 +50,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition an input that was read in fewer pieces than there are cores, into enough pieces to even out.
-
-    A cluster-sized input has far more scan splits than cores and passes through untouched, so no shuffle is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 4) if df.rdd.getNumPartitions() < cores else df

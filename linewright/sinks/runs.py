@@ -20,12 +20,12 @@ def align_columns(rows: DataFrame, header: list[str]) -> DataFrame:
 def metrics_append(rows: DataFrame, path: str) -> None:
     """Append metrics rows to a CSV log. A new log gets the full header; the header of an existing one is kept."""
     try:
-        header = rows.sparkSession.read.csv(path, header=True).columns
+        header = rows.sparkSession.read.csv(path, header=True, escape='"').columns
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         header = list(METRICS_COLUMNS)
-    align_columns(rows, header).write.mode("append").csv(path, header=True, emptyValue="")
+    align_columns(rows, header).write.mode("append").csv(path, header=True, emptyValue="", escape='"')
 
 
 def with_digest(files: DataFrame) -> DataFrame:
@@ -86,5 +86,6 @@ def provenance_flag(provenance: Column) -> Column:
 
 
 def provenance_sink(sidecars: DataFrame, path: str) -> None:
-    """Sidecars as JSON, one folder per (model, split)."""
-    sidecars.withColumn("run", F.concat_ws("_", "model", "split")).write.mode("overwrite").partitionBy("run").json(path)
+    """Sidecars as JSON, one folder per (model, split). Only the folders of the runs given are replaced."""
+    runs = sidecars.withColumn("run", F.concat_ws("_", "model", "split"))
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)

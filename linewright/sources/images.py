@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +14,19 @@ from linewright.sources.lines import plain_path
 _SIGNATURE = "89504E470D0A1A0A"
 
 
-def image_listing(spark: SparkSession, root: str, pattern: str = "*.png") -> DataFrame:
-    """Paths of the image files under a folder; contents are not read."""
+def tidy_path(path: Column) -> Column:
+    """A path without `./` parts and doubled slashes, so that spellings of one file meet."""
+    return F.regexp_replace(F.regexp_replace(path, r"(?<=^|/)(?:\./+)+", ""), "/{2,}", "/")
+
+
+def image_listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """`path` and `uri` of the files of any type under a folder; contents are not read."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(root)
-        .select(plain_path(F.col("_metadata.file_path")).alias("path"))
+        .select(tidy_path(plain_path(F.col("_metadata.file_path"))).alias("path"), F.col("_metadata.file_path").alias("uri"))
     )
 
 
@@ -34,17 +43,35 @@ def png_dims(content: Column) -> dict[str, Column]:
     }
 
 
-def image_dims(spark: SparkSession, root: str, pattern: str = "*.png") -> DataFrame:
-    """`path`, `width`, `height` of every image file, each file read once."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-        .select(plain_path(F.col("_metadata.file_path")).alias("path"), "content")
-        .withColumns(png_dims(F.col("content")))
-        .select("path", "width", "height")
-    )
+def _header(uri: str) -> bytes | None:
+    """The first 24 bytes of a file, from whatever store its address names; None where they cannot be read."""
+    from pyarrow import fs
+
+    try:
+        if urlsplit(uri).scheme in ("", "file"):
+            with open(unquote(urlsplit(uri).path), "rb") as file:
+                return file.read(24)
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_file(path) as file:
+            return file.read(24)
+    except (OSError, pa.ArrowException):
+        return None
+
+
+def with_headers(listing: DataFrame) -> DataFrame:
+    """A listing (`path`, `uri`) with the first bytes of each file as `content`; no file is read further."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = pa.array([_header(uri) for uri in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), heads], names=["path", "content"])
+
+    return listing.select("path", "uri").mapInArrow(run, "path string, content binary")
+
+
+def image_dims(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """`path`, `width`, `height` of every file; sizes only where the header is that of a PNG."""
+    return with_headers(image_listing(spark, root, pattern)).withColumns(png_dims(F.col("content"))).select("path", "width", "height")
 
 
 def with_existing_image(labels: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:

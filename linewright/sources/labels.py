@@ -53,7 +53,9 @@ def read_exports(spark: SparkSession, raw_dir: str, export_dir: str = EXPORT_DIR
 
 def read_split_lines(spark: SparkSession, data_dir: str, splits: tuple[str, ...] = SPLITS) -> DataFrame:
     """Lines of a consolidated set: `labels/<split>.txt` files, or the `split=` folders the label sink writes."""
-    lines = read_lines(spark, f"{data_dir.rstrip('/')}/labels")
+    # only the files and folders of these splits are listed and read
+    wanted = ",".join(f"split={s},{s}.txt" for s in splits)
+    lines = read_lines(spark, f"{data_dir.rstrip('/')}/labels/{{{wanted}}}")
     found = F.regexp_extract("file_path", rf"/labels/(?:split=)?({'|'.join(SPLITS)})(?:\.txt)?(?:/[^/]*)?$", 1)
     return lines.withColumn("split", found).where(F.col("split").isin(*splits))
 

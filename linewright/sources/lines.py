@@ -27,16 +27,16 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """Add the 1-based `line_no` within the file.
+def number_lines(lines: DataFrame, within: str = "file_path") -> DataFrame:
+    """Add the 1-based `line_no` within the file, or within all files of a `split`, in order of their names.
 
     Lines are ranked inside their block (a block is bounded by the scan's split size) and shifted by the number of
-    lines in the file's earlier blocks; only that count, one row per block, is ever windowed over a whole file.
+    lines in the earlier blocks; only that count, one row per block, is ever windowed over a whole file or split.
     """
     block = Window.partitionBy("file_path", "block_start").orderBy("scan_id")
-    earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(within).orderBy("file_path", "block_start").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        lines.groupBy("file_path", "block_start")
+        lines.groupBy(*dict.fromkeys([within, "file_path", "block_start"]))
         .agg(F.count("*").alias("n"))
         .select("file_path", "block_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
     )

@@ -22,12 +22,15 @@ _LOG_TYPES = {
 def read_metrics_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows of a metrics log as strings, whatever its header, with `log_ord` as their order.
 
-    Files of one log are appended to, never rewritten, so they are ordered by modification time.
+    Rows are ordered by their own `timestamp`, where the log has one, then by the modification time of the files, which
+    are appended to and never rewritten.
     """
-    rows = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
+    rows = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, escape='"')
+    stamp = F.col("timestamp").try_cast("timestamp") if "timestamp" in rows.columns else F.lit(None).cast("timestamp")
     return rows.select(
         "*",
         F.struct(
+            stamp.alias("stamped"),
             F.col("_metadata.file_modification_time").alias("written"),
             plain_path(F.col("_metadata.file_path")).alias("file"),
             F.col("_metadata.file_block_start").alias("block_start"),

