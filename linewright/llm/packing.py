@@ -108,6 +108,11 @@ def piece_rows(path: str, length: int):
 
 def pack_lot(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of each piece of one lot. lengths: of the pieces, in the order of placing."""
+    return merged(*sum_of_squares(lengths, length), length)
+
+
+def sum_of_squares(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence and offset of each piece by the rule alone, and how far each sequence is filled."""
     n_open = np.zeros(length + 1, np.int64)
     by_gap: list[list[int]] = [[] for _ in range(length + 1)]
     sequence, offset, filled = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), []
@@ -131,7 +136,7 @@ def pack_lot(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.
         if gap > size:
             n_open[gap - size] += 1
             by_gap[gap - size].append(s)
-    return merged(sequence, offset, np.array(filled, np.int64), length)
+    return sequence, offset, np.array(filled, np.int64)
 
 
 def merged(sequence: np.ndarray, offset: np.ndarray, filled: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -141,11 +141,14 @@ WITH cut AS (
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, row_number() OVER () AS rn
   FROM documents),
 windows AS (
-  SELECT rn, unnest(range(1, len(w) - 1)) AS i, w FROM cut WHERE len(w) >= 3),
+  SELECT rn, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS k
+  FROM cut WHERE len(w) >= 3),
+twice AS (
+  SELECT rn, k FROM windows GROUP BY rn, k HAVING count(*) > 1),
 keyed AS (
-  SELECT rn, i, count(*) OVER (PARTITION BY rn, w[i], w[i + 1], w[i + 2]) AS c FROM windows),
+  SELECT rn, i FROM windows JOIN twice USING (rn, k)),
 repeated AS (
-  SELECT rn, count(DISTINCT p) AS n FROM (SELECT rn, unnest([i, i + 1, i + 2]) AS p FROM keyed WHERE c > 1) GROUP BY rn),
+  SELECT rn, count(DISTINCT p) AS n FROM (SELECT rn, unnest([i, i + 1, i + 2]) AS p FROM keyed) GROUP BY rn),
 m AS (
   SELECT doc_id, source, len(w)::BIGINT AS n_words, length(list_aggregate(w, 'string_agg', ''))::BIGINT AS wc,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,

@@ -1,0 +1,239 @@
+"""Packing, classifiers, the language model and secret scans."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import cases
+import numpy as np
+import pyarrow as pa
+import pytest
+from linewright.llm import lm_scoring, packing, quality_classifier, secret_scans, toxicity, words
+from pyspark.sql import functions as F
+
+
+def test_words_of_sliced_texts():
+    texts = [f"Äx{i} B c\x0bD\t" if i % 3 else None for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(texts)], names=["doc_id", "text"])
+    seen = []
+    for part in words.slices(iter([batch.slice(7), batch.slice(0, 0)]), "text", 40):
+        counts, flat = words.split(part.column(1))
+        flat = iter(flat.to_pylist())
+        seen += [[next(flat) for _ in range(n)] for n in counts]
+    assert seen == [cases.WORD.findall(cases.lower(t)) for t in texts[7:]]
+
+
+def test_pieces_like_whole_encoding(spark):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public.path("word_bpe_49k.json")
+    whole = tokenizers.Tokenizer.from_file(path)
+    odd = "It's <|endoftext|> A<|ENDOFTEXT|>b café CAFÉ… naïve, (ok) x,y ''s 'S 12,3  nb em ΣΑΣ İ ́a ß! ñ?! #### a## x\x00y"
+    rows = cases.awkward() + [(700, odd, "s", "en"), (701, odd.upper(), "s", "en")]
+    got = packing.pack(cases.frame(spark, rows, extra=True), path, length=256, lot=40).collect()
+    want = Counter()
+    for doc_id, text, *_ in rows:
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, 1]
+        for piece, start in enumerate(range(0, len(ids), 256)):
+            part = np.array(ids[start : start + 256], "<u4")
+            want[(doc_id, piece, start, len(part), zlib.crc32(part.tobytes()))] += 1
+    assert Counter(tuple(r)[:5] for r in got) == want
+    by_sequence = defaultdict(list)
+    for r in got:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for parts in by_sequence.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 256
+    assert len(by_sequence) <= 1.05 * sum(r.length for r in got) / 256 + 3
+    assert packing.pack(cases.frame(spark, rows).limit(0), path).count() == 0
+
+
+def test_sum_of_squares_rule():
+    """Against the rule spelled out: every place is tried, and the sum of squares computed anew."""
+    rng = random.Random(5)
+    lengths = [rng.randrange(1, 33) for _ in range(300)]
+    gaps = []
+
+    def total(new):
+        return sum(n * n for g, n in Counter(new).items() if g)
+
+    for size in lengths:
+        tries = [(total([*gaps[:k], g - size, *gaps[k + 1 :]]), g - size, k) for k, g in enumerate(gaps) if g >= size]
+        best = min(tries, default=None)
+        if best is None or total([*gaps, 32 - size]) < best[0]:
+            gaps.append(32 - size)
+        else:
+            gaps[best[2]] -= size
+    _, _, filled = packing.sum_of_squares(np.array(lengths), 32)
+    assert sorted(32 - filled) == sorted(gaps)
+    sequence, offset = packing.pack_lot(np.array(lengths), 32)
+    fill = defaultdict(int)
+    for s, o, n in sorted(zip(sequence.tolist(), offset.tolist(), lengths, strict=True)):
+        assert o == fill[s]
+        fill[s] += n
+    assert max(fill.values()) <= 32 and len(fill) <= len(gaps)
+    assert sum(f <= 16 for f in fill.values()) <= 1
+
+
+def labelled_corpus(n, positive, rng):
+    """Documents, some with a word of one list and one of another; label 1 only where both are."""
+    rows, labels = [], []
+    for i in range(n):
+        w = cases.prose(rng, 40).split()
+        kind = i % 4
+        if kind in (1, 3):
+            w[rng.randrange(40)] = rng.choice(["fool", "clod"])
+        if kind in (2, 3):
+            w[rng.randrange(40)] = rng.choice(["northerners", "southerners"])
+        rows.append((i, " ".join(w), "s", "en"))
+        labels.append((i, int(kind == 3)))
+    return rows, labels
+
+
+def test_factorization_machine_learns_pairs(spark):
+    rows, labels = labelled_corpus(800, None, random.Random(3))
+    rows += [r for r in cases.awkward() if r[0] is None or r[0] >= 300]
+    docs = cases.frame(spark, rows, extra=True)
+    known = spark.createDataFrame([*labels, (5, None), (None, 1)], "doc_id long, toxic int").withColumn("score", F.lit(1.0))
+    got = toxicity.classified(docs, known, "toxic", 3, 1, 0.7).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    truth = dict(labels)
+    tested = [r for r in got if r.doc_id in truth and r.held_out and r.doc_id < 300]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in tested)
+    assert sum(r.predicted == truth[r.doc_id] for r in tested) >= 0.97 * len(tested)
+
+
+def test_factorization_machine_against_all_pairs():
+    rng = np.random.default_rng(0)
+    machine = toxicity.Machine(0.3, np.arange(6), rng.normal(size=6), rng.normal(size=(6, 4)))
+    rows, features = np.array([0, 0, 0, 2]), np.array([1, 3, 5, 4])
+    v, w = machine.factors, machine.weights
+    want = [0.3 + w[1] + w[3] + w[5] + v[1] @ v[3] + v[1] @ v[5] + v[3] @ v[5], 0.3, 0.3 + w[4]]
+    assert np.allclose(machine.logits(3, rows, features), want)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_classifier])
+def test_classifiers_without_labels_or_rows(spark, module):
+    docs = cases.frame(spark, cases.awkward())
+    none = spark.createDataFrame([], "doc_id long, label int")
+    assert {r.score for r in module.classified(docs, none, "label", 3, 1, 0.7).collect()} == {0.5}
+    ones = spark.createDataFrame([(0, 1), (1, 1), (2, 1)], "doc_id long, label int")
+    assert {r.predicted for r in module.classified(docs, ones, "label", 3, 99, 0.7).collect()} == {1}
+    assert module.classified(docs.limit(0), ones, "label", 3, 1, 0.7).count() == 0
+
+
+def test_rule_ensemble_on_held_out_rows(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(600):
+        good = i % 3 != 0
+        t = cases.prose(rng, rng.randrange(30, 90))
+        rows.append((i, t if good else (t.replace(" ", "$$$ ") if i % 2 else (t.upper().replace(" ", "!! "))), "s", "en"))
+        labels.append((i, int(good)))
+    docs = cases.frame(spark, rows + [r for r in cases.awkward() if r[0] is None or r[0] >= 300 and r[0] < 0], extra=True)
+    got = quality_classifier.classified(docs, spark.createDataFrame(labels, "doc_id long, quality int"), "quality", 5, 0, 0.3).collect()
+    truth = dict(labels)
+    tested = [r for r in got if r.doc_id in truth and r.held_out]
+    assert len(tested) > 80 and sum(r.predicted == truth[r.doc_id] for r in tested) >= 0.98 * len(tested)
+
+
+def test_rules_hold_like_their_conditions(spark):
+    path = ((0, True, 1.0), (1, False, 2.0))
+    rows = spark.createDataFrame([(2.0, 2.0), (1.0, 2.0), (2.0, 2.5)], "a double, b double")
+    assert [r[0] for r in rows.select(quality_classifier.holds(path, [F.col("a"), F.col("b")])).collect()] == [True, False, False]
+    model = quality_classifier.RuleModel(-1.0, {path: 3.0})
+    assert [round(r[0], 6) for r in rows.select(model.score([F.col("a"), F.col("b")])).collect()] == [round(1 / (1 + math.exp(-x)), 6) for x in (2, -1, -1)]
+
+
+def slow_forward(sequence, start, moves, emits):
+    a, log = start * emits[sequence[0]], 0.0
+    for x in sequence[1:]:
+        a = (a @ moves) * emits[x]
+        log += math.log(a.sum())
+        a /= a.sum()
+    return log + math.log(a.sum())
+
+
+def test_forward_recursion_in_parts():
+    rng = np.random.default_rng(0)
+    start, moves, emits = rng.dirichlet(np.ones(5)), rng.dirichlet(np.ones(5), 5), rng.dirichlet(np.ones(30), 5).T
+    sequences = [rng.integers(0, 30, n).astype("<u2") for n in (1, 2, 7, 8, 9, 33, 400)]
+    want = [slow_forward(s, start, moves, emits) for s in sequences]
+    assert np.allclose(lm_scoring.log_likelihoods(sequences, start, moves, emits, 16), want)
+    assert np.allclose(lm_scoring.log_likelihoods(sequences, start, moves, emits), want)
+
+
+def test_expected_counts_by_brute_force():
+    rng = np.random.default_rng(1)
+    start, moves, emits = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(4), 3).T
+    sequence = np.array([0, 3, 3, 1])
+    weights = {}
+    for path in np.ndindex(3, 3, 3, 3):
+        p = start[path[0]] * emits[sequence[0], path[0]]
+        for t in range(1, 4):
+            p *= moves[path[t - 1], path[t]] * emits[sequence[t], path[t]]
+        weights[path] = p
+    total = sum(weights.values())
+    starts, moved, emitted = np.zeros(3), np.zeros((3, 3)), np.zeros((4, 3))
+    for path, p in weights.items():
+        starts[path[0]] += p / total
+        for t in range(4):
+            emitted[sequence[t], path[t]] += p / total
+            if t:
+                moved[path[t - 1], path[t]] += p / total
+    for got, want in zip(lm_scoring.expected([sequence], start, moves, emits), (starts, moved, emitted), strict=True):
+        assert np.allclose(got, want)
+
+
+def test_language_model_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAD", 60)
+    monkeypatch.setattr(lm_scoring, "SYMBOLS", 20)
+    monkeypatch.setattr(lm_scoring, "PASSES", 2)
+    rng = random.Random(6)
+    rows = [r for r in cases.awkward() if r[0] != 305] + [(800 + i, " ".join((["to be", "or not"] if i % 2 else ["zu sein", "oder nicht"])[rng.randrange(2)] for _ in range(30)), "s", "en") for i in range(40)]
+    got = lm_scoring.scored(cases.frame(spark, rows, extra=True), 7, 2).collect()
+    tokens = [(i, [*cases.WORD.findall(cases.lower(t)), ""]) for i, t, *_ in rows]
+    held = {i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2 for i, _ in tokens}
+    counts = Counter(w for i, t in tokens if not held[i] for w in t)
+    n, v = sum(counts.values()), len(counts)
+    want = Counter((i, held[i], len(t), sum(counts[w] > 0 for w in t), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), 6)) for i, t in tokens)
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    better = [r.score > r.base_score for r in got if r.doc_id is not None and r.doc_id >= 800]
+    assert sum(better) == len(better) and all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert lm_scoring.scored(cases.frame(spark, rows).limit(0), 7, 2).count() == 0
+
+
+def secret_corpus(rng):
+    rows = []
+    for i in range(120):
+        text = cases.prose(rng, 30, 60)
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        inserted = {0: f'token = "{value}"', 1: "".join(rng.choice("0123456789") for _ in range(16)), 2: f"AKIA{''.join(rng.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') for _ in range(16))}", 3: f"password={value[:18]}"}[i % 4]
+        rows.append((i, f"{text} {inserted} {text}", "s", "en"))
+    return rows
+
+
+def test_secrets_are_found_and_masked(spark):
+    rows = secret_corpus(random.Random(1)) + [r for r in cases.awkward() if r[0] is None or r[0] >= 300]
+    docs = cases.frame(spark, rows, extra=True)
+    got = secret_scans.findings(docs).collect()
+    regex = pytest.importorskip("regex")
+    want = Counter((i, m.start(), m.group()) for i, t, *_ in rows for m in regex.finditer(secret_scans.CANDIDATE, t or ""))
+    assert Counter((r.doc_id, r.start, r.value) for r in got) == want
+    verdicts = {r.doc_id: r.is_secret for r in got if r.doc_id is not None and r.doc_id < 120}
+    assert all(verdicts[i] == (i % 4 != 1) for i in range(120))
+    masked = secret_scans.redacted(docs)
+    assert masked.columns == docs.columns and masked.count() == len(rows)
+    texts = {r.doc_id: r.text for r in masked.where("doc_id < 120").collect()}
+    for i, t, *_ in rows[:120]:
+        assert (secret_scans.MASK in texts[i]) == (i % 4 != 1)
+        assert texts[i] == (re.sub(r'(?<=token = ")[0-9a-f]{40}|AKIA[A-Z0-9]{16}|(?<=password=)[0-9a-f]{18}', secret_scans.MASK, t) if i % 4 != 1 else t)
+
+
+def test_secrets_without_labels_and_of_empty_tables(spark):
+    rows = [(1, 'key = "abcdef0123456789"', "s", "en"), (2, "card 1234567890123456", "s", "en"), (3, None, "s", "en")]
+    got = {r.doc_id: r.is_secret for r in secret_scans.findings(cases.frame(spark, rows)).collect()}
+    assert got == {1: True, 2: False}
+    assert secret_scans.findings(cases.frame(spark, rows).limit(0)).count() == 0
