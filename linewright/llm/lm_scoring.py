@@ -43,6 +43,8 @@ STATES = 8
 PASSES = 6
 STRETCH = 128
 PART = 2048
+#: Parts that advance together, at most.
+TOGETHER = 4096
 #: Documents that the start is made of.
 STARTERS = 64
 #: Weight, in tokens, of the corpus in the emissions of a state.
@@ -123,10 +125,17 @@ def encoder(sent, total: float, n_symbols: int):
 def expected(sequences: list[np.ndarray], start: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and emissions (symbols x states) over stretches of sequences. emits: symbols x states."""
     parts = sorted((s[i : i + STRETCH] for s in sequences for i in range(0, len(s), STRETCH)), key=len, reverse=True)
+    sums = np.zeros(len(start)), np.zeros(moves.shape), np.zeros_like(emits)
+    for i in range(0, len(parts), TOGETHER):
+        for total, found in zip(sums, expected_of(parts[i : i + TOGETHER], start, moves, emits), strict=True):
+            total += found
+    return sums
+
+
+def expected_of(parts: list[np.ndarray], start: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same over sequences that advance together. parts: the longest first."""
     n_states = len(start)
     starts, moved, emitted = np.zeros(n_states), np.zeros((n_states, n_states)), np.zeros_like(emits)
-    if not parts:
-        return starts, moved, emitted
     sizes = np.array([len(p) for p in parts])
     steps = int(sizes[0])
     active = np.searchsorted(-sizes, -np.arange(steps), side="left")  # parts longer than t
@@ -158,25 +167,15 @@ def expected(sequences: list[np.ndarray], start: np.ndarray, moves: np.ndarray,
     return starts, moved, emitted
 
 
-def log_likelihoods(sequences: list[np.ndarray], start: np.ndarray, moves: np.ndarray, emits: np.ndarray, part: int = PART) -> np.ndarray:
-    """Natural logarithms of the probabilities of whole sequences, by the scaled forward recursion."""
-    n_states = len(start)
-    rows, firsts, owner = [], [], []
-    for k, s in enumerate(sequences):
-        for i in range(0, len(s), part):
-            for state in range(n_states) if i else (-1,):
-                rows.append(s[i : i + part])
-                firsts.append(start if state < 0 else moves[state])
-                owner.append((k, i, state))
-    order = sorted(range(len(rows)), key=lambda r: -len(rows[r]))
-    sizes = np.array([len(rows[r]) for r in order])
-    steps = int(sizes[0]) if len(sizes) else 0
+def advanced(rows: list[np.ndarray], first: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distribution of the state at the end of each row, and the logarithm of its probability. rows: the longest first."""
+    sizes = np.array([len(r) for r in rows])
+    steps = int(sizes[0])
     active = np.searchsorted(-sizes, -np.arange(steps), side="left")
     symbols = np.zeros((steps, len(rows)), np.int32)
-    for column, r in enumerate(order):
-        symbols[: sizes[column], column] = rows[r]
-    state = np.array([firsts[r] for r in order]).reshape(-1, n_states)
-    logs = np.zeros(len(rows))
+    for column, r in enumerate(rows):
+        symbols[: sizes[column], column] = r
+    state, logs = first.copy(), np.zeros(len(rows))
     for t in range(steps):
         d = active[t]
         a = (state[:d] @ moves if t else state[:d]) * emits[symbols[t, :d]]
@@ -186,8 +185,24 @@ def log_likelihoods(sequences: list[np.ndarray], start: np.ndarray, moves: np.nd
             a /= scale[:, None]
         state[:d] = a
     total = state.sum(1)
-    logs += np.log(total)
-    state /= total[:, None]
+    return state / total[:, None], logs + np.log(total)
+
+
+def log_likelihoods(sequences: list[np.ndarray], start: np.ndarray, moves: np.ndarray, emits: np.ndarray, part: int = PART) -> np.ndarray:
+    """Natural logarithms of the probabilities of whole sequences, by the scaled forward recursion."""
+    n_states = len(start)
+    rows, firsts, owner = [], [], []
+    for k, s in enumerate(sequences):
+        for i in range(0, len(s), part):
+            for state in range(n_states) if i else (-1,):
+                rows.append(s[i : i + part])
+                firsts.append(start if state < 0 else moves[state])
+                owner.append((k, i, state))
+    order = sorted(range(len(rows)), key=lambda r: -len(rows[r]))
+    state, logs = np.empty((len(rows), n_states)), np.empty(len(rows))
+    for i in range(0, len(order), TOGETHER):
+        some = order[i : i + TOGETHER]
+        state[i : i + TOGETHER], logs[i : i + TOGETHER] = advanced([rows[r] for r in some], np.array([firsts[r] for r in some]), moves, emits)
     placed = {owner[r]: column for column, r in enumerate(order)}
     result = np.empty(len(sequences))
     for k, s in enumerate(sequences):
