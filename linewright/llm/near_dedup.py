@@ -8,12 +8,20 @@ of their own would take HALVES squared * 2 * ROWS. Two sets of similarity s shar
 Classes. Documents with equal sets form a class, found by a digest of the set; only one document of each goes on, so a
 group of copies, however large, costs one row per task.
 
-Candidates. Never all pairs of a bucket: each round takes a few hubs of each bucket and pairs the members with these.
-After a round the pairs are verified on the full sets and components are formed. A bucket whose members are all in one
-component is done, since further links in it would change nothing; in the others the next, larger set of hubs is taken,
-and only pairs over two components that have not been compared are made. It ends when no bucket has such pairs left, so
-no link between components is lost whatever a bucket's size. Sizes that differ by more than the threshold allows are
-not compared. Buckets with the same members are one bucket.
+Candidates. Never all pairs of a bucket. First every bucket is compared with one hub, the member with the largest buckets,
+which in a group of copies is the text they come from. Links so found make components. The buckets of one hub are one bucket
+from then on; if its other members are in one component it is done, since further links in it would change nothing. Of the documents in the remaining buckets, each
+shingle's number of documents is counted; it is rare if at most `RARE` have it. Two documents that are linked either
+
+* share a rare shingle. Then one is among the first few of both, the rarest first (the prefix filter: at least `percent` of
+  either set is shared). Pairs are made on these shingles, each of which has at most RARE documents. Or they
+* share frequent shingles only, and both have enough of these, given their sizes. Such members of a bucket are compared with
+  further hubs, more in each round, over different components only, until a bucket is in one component or all its
+  members have been hubs.
+
+So no link between components is lost whatever a bucket's size, and documents that differ from all others in more than the
+threshold allows, such as the distant copies of a popular text, are compared with the hub alone. Buckets with the same
+members are one bucket.
 
 Verification joins both full sets to each pair. Skewed hubs are split by the adaptive join. The texts of documents that
 stand in no pair are read but not taken apart again, and nothing but the sets of documents in pairs is shuffled.
@@ -27,12 +35,11 @@ long text is one row of a task and is taken apart whole.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.llm import words
@@ -42,8 +49,10 @@ from linewright.llm.shared import staged
 HALVES, ROWS = 8, 2
 #: Ids that are sent to all tasks, at most; above it, the join shuffles.
 MOST_SENT = 1_000_000
-#: Hubs of a bucket in each round.
-HUBS = (1, 4, 16, 64, 256)
+#: A shingle is rare if at most so many documents of those looked at have it.
+RARE = 8
+#: By how much the number of further hubs grows in each round.
+GROWTH = 6
 
 SIGNATURES = "doc_id long, n_shingles long, digest binary, halves array<long>"
 
@@ -88,21 +97,13 @@ def signatures(docs: DataFrame, n: int = 3, halves: int = HALVES, rows: int = RO
 
 
 def buckets(classes: DataFrame, halves: int = HALVES) -> DataFrame:
-    """bucket, rep, n_shingles: members of all table keys with two members or more; keys with equal members count once.
+    """bucket, rep, n: members of all table keys with two members or more; keys with equal members count once.
 
     classes: rep, n_shingles, halves.
     """
     keys = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(halves - 1)), lambda i: F.transform(F.sequence(F.lit(halves), F.lit(2 * halves - 1)), lambda j: F.xxhash64(i, j, F.get("halves", i), F.get("halves", j)))))
-    members = classes.select("rep", "n_shingles", F.explode(keys).alias("key"))
-    shared = (
-        members.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.max("rep").alias("last"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("sum"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("xor"))
-        .where("n > 1")
-        .groupBy("n", "first", "last", "sum", "xor")
-        .agg(F.min("key").alias("key"))
-        .select("key")
-    )
-    return members.join(shared, "key").select(F.col("key").alias("bucket"), "rep", "n_shingles")
+    members = classes.select("rep", F.col("n_shingles").cast("int").alias("n"), F.explode(keys).alias("bucket"))
+    return one_of_equal(members)
 
 
 def sent_or_shuffled(ids: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = staged(small.select("e.*").where("u <> v").distinct(), "edges")
@@ -128,57 +129,133 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def pairs_of_round(members: DataFrame, first: int, last: int, percent: int) -> DataFrame:
-    """rep, hub: the members of each bucket with its hubs number first to last, over different components.
+def one_of_equal(rows: DataFrame) -> DataFrame:
+    """The buckets of rows (bucket, rep, n) that have two members or more, one of those with the same members."""
+    kept = (
+        rows.groupBy("bucket")
+        .agg(F.count("*").alias("size"), F.min("rep").alias("first"), F.max("rep").alias("last"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("sum"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("xor"))
+        .where("size > 1")
+        .groupBy("size", "first", "last", "sum", "xor")
+        .agg(F.min("bucket").alias("bucket"))
+    )
+    return rows.join(kept.select("bucket"), "bucket")
+
 
-    members: bucket, rep, n_shingles, component. Hubs are numbered by id within a bucket; only they are ranked and gathered.
-    """
-    from pyspark.sql import Window
+def with_links(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """Components after more links (a, b), and whether they differ from before. Only the components that these links join
+    are gone through, not all links found so far. labels: node, component of all nodes but the smallest of each component."""
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    joined = staged(ends.where("a <> b").distinct(), "joined")
+    if joined.isEmpty():
+        return labels, False
+    found = components(joined)
+    moved = labels.join(found.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left")
+    return staged(moved.select("node", F.coalesce("c", "component").alias("component")).unionByName(found), "labels"), True
 
-    ranked = members.withColumn("no", F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))).where(F.col("no") <= last)
-    hubs = ranked.where(F.col("no") > first).groupBy("bucket").agg(F.collect_list(F.struct(F.col("rep").alias("hub"), F.col("n_shingles").alias("n"), F.col("component").alias("c"))).alias("hubs"))
-    met = members.join(hubs, "bucket").select("rep", "n_shingles", "component", F.explode("hubs").alias("h"))
-    near = (100 * F.least("n_shingles", "h.n") >= percent * F.greatest("n_shingles", "h.n")) & (F.col("component") != F.col("h.c"))
-    return met.where(near).select(F.greatest("rep", "h.hub").alias("rep"), F.least("rep", "h.hub").alias("hub")).distinct()
 
+def with_hubs(members: DataFrame) -> DataFrame:
+    """members (bucket, rep, n) with hub and its size m, the member that has the largest buckets together (ties: the smallest id)."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    weights = members.join(sizes, "bucket").groupBy("rep").agg(F.sum("size").alias("weight"))
+    hubs = members.join(weights, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("id"), "n")).alias("top"))
+    return members.join(hubs, "bucket").select("bucket", "rep", "n", (-F.col("top.id")).alias("hub"), F.col("top.n").alias("m")).where("rep <> hub")
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union. pairs: rep, hub, written."""
-    ids = staged(pairs.select(F.explode(F.array("rep", "hub")).alias("doc_id")).distinct(), "ids")
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(sent_or_shuffled(ids), "doc_id", "left_semi")
-    sets = staged(found.mapInArrow(set_rows(n, None, 0), "doc_id long, set array<long>"), "sets")
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs (rep, hub) whose full sets have 100 * intersection >= percent * union, as a written table."""
     a = sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("a"))
     b = sets.select(F.col("doc_id").alias("hub"), F.col("set").alias("b"))
     both = pairs.join(a, "rep").join(b, "hub").withColumn("common", F.size(F.array_intersect("a", "b")))
-    return both.where(100 * F.col("common") >= percent * (F.size("a") + F.size("b") - F.col("common"))).select("rep", "hub").distinct()
+    return staged(both.where(100 * F.col("common") >= percent * (F.size("a") + F.size("b") - F.col("common"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")), "links")
+
+
+def near_sizes(n: str, m: str, percent: int):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with the component of rep."""
+    return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def unsettled(members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """The members of buckets over several components, with their component, as a written table."""
+    marked = labelled(members, labels)
+    mixed = marked.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")).where("low <> high")
+    return staged(marked.join(mixed.select("bucket", "least"), "bucket"), name)
+
+
+def counted_shingles(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rep, n, component, frequent (number of shingles in more than RARE sets), prefix (the rare ones to look for), written.
+
+    rest: rep, n, component, distinct.
+    """
+    held = rest.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", F.explode("set").alias("shingle"))
+    counts = held.groupBy("shingle").agg(F.count("*").alias("df"))
+    rare = F.when(F.col("df") <= RARE, F.struct("df", "shingle"))
+    per_rep = held.join(counts, "shingle").groupBy("rep").agg(F.count_if(F.col("df") > RARE).cast("int").alias("frequent"), F.array_sort(F.collect_list(rare)).alias("rare"))
+    many = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
+    prefix = F.transform(F.filter(F.slice("rare", F.lit(1), many), lambda x: x["df"] > 1), lambda x: x["shingle"])
+    return staged(rest.join(per_rep, "rep").select("rep", "n", "component", "frequent", prefix.alias("prefix")), "shingles")
+
+
+def pairs_on_rare_shingles(counted: DataFrame, percent: int) -> DataFrame:
+    """rep, hub over different components that have a rare shingle of both prefixes in common; each shingle has at most RARE."""
+    x = counted.select(F.explode("prefix").alias("shingle"), "rep", "n", "component")
+    y = x.select("shingle", F.col("rep").alias("hub"), F.col("n").alias("m"), F.col("component").alias("c"))
+    return x.join(y, "shingle").where((F.col("rep") > F.col("hub")) & (F.col("component") != F.col("c")) & near_sizes("n", "m", percent)).select("rep", "hub").distinct()
+
+
+def pairs_with_hubs(members: DataFrame, first: int, last: int, percent: int) -> DataFrame:
+    """rep, hub: members of each bucket with its hubs number first to last, over different components, as far as their
+    frequent shingles may suffice. members: bucket, rep, n, component, frequent. Hubs are numbered by id in a bucket."""
+    ranked = members.withColumn("no", F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))).where(F.col("no") <= last)
+    hubs = ranked.where(F.col("no") > first).select("bucket", F.col("rep").alias("hub"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("frequent").alias("f"))
+    enough = (100 + percent) * F.least("frequent", "f") >= percent * (F.col("n") + F.col("m"))
+    met = members.join(hubs, "bucket").where((F.col("component") != F.col("c")) & near_sizes("n", "m", percent) & enough)
+    return met.select(F.greatest("rep", "hub").alias("rep"), F.least("rep", "hub").alias("hub")).distinct()
+
+
+def linked_reps(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """node, component of the reps that are linked with another. members: bucket, rep, n, written."""
+    ids = staged(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(sent_or_shuffled(ids), "doc_id", "left_semi")
+    sets = staged(found.mapInArrow(set_rows(n, None, 0), "doc_id long, set array<long>").dropDuplicates(["doc_id"]), "sets")
+
+    members = staged(with_hubs(members), "members")
+    pairs = members.where(near_sizes("n", "m", percent)).select("rep", "hub").distinct()
+    labels = components(linked_pairs(pairs, sets, percent))
+    # the buckets of one hub are one bucket from here on, so that a pair that shares many of them is made once
+    rest = unsettled(members.select(F.col("hub").alias("bucket"), "rep", "n").distinct(), labels, "unsettled")
+    if rest.isEmpty():
+        return labels
+    counted = counted_shingles(rest.select("rep", "n", "component").distinct(), sets, percent)
+    labels, _ = with_links(labels, linked_pairs(staged(pairs_on_rare_shingles(counted, percent), "pairs"), sets, percent))
+    rest = rest.drop("component").join(counted.select("rep", "frequent"), "rep").where(F.col("frequent") * (100 + percent) >= percent * (F.col("n") + F.col("least")))
+    done, changed = 0, True
+    while True:
+        if changed:
+            rest = unsettled(rest.select("bucket", "rep", "n", "frequent"), labels, "unsettled")
+        rest = rest.join(rest.groupBy("bucket").count().where(F.col("count") > done).select("bucket"), "bucket")
+        if rest.isEmpty():
+            return labels
+        last = GROWTH * (done + 1)
+        pairs = staged(pairs_with_hubs(rest, done, last, percent), "pairs")
+        done, changed = last, False
+        if not pairs.isEmpty():
+            labels, changed = with_links(labels, linked_pairs(pairs, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, component_id, kept: one row per document."""
-    spark = docs.sparkSession
     signed = staged(signatures(docs, n), "signatures")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves")), "classes")
-    members = staged(buckets(classes).withColumn("component", F.col("rep")), "buckets")
-    links: DataFrame | None = None
-    found = None
-    done = 0
-    for last in itertools.chain(HUBS, itertools.count(2 * HUBS[-1], HUBS[-1])):
-        pairs = pairs_of_round(members, done, last, percent)
-        pairs = staged(pairs, "pairs")
-        if not pairs.isEmpty():
-            new = staged(verified(docs, pairs, n, percent), "links")
-            links = new if links is None else links.union(new)
-            found = components(links.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-            members = members.drop("component").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_ones = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where(f"low <> high AND n > {last}").select("bucket")
-        members = staged(members.join(open_ones, "bucket", "left_semi"), "buckets")
-        done = last
-        if members.isEmpty():
-            break
+    found = linked_reps(docs, staged(buckets(classes), "buckets"), n, percent)
     same = signed.join(classes.select("digest", "rep"), "digest", "left")
-    empty = spark.createDataFrame([], "rep long, component long")
-    joined = same.join(found.withColumnRenamed("node", "rep") if found is not None else empty, "rep", "left")
+    joined = same.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
