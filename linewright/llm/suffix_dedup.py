@@ -34,7 +34,7 @@ from linewright.llm.shared import staged
 
 LENGTH, SEED = 50, 25
 #: Positions that are sent to all tasks, at most; above it, the join shuffles.
-MOST_SENT = 2_000_000
+MOST_SENT = 100_000
 
 KEYED = "key long, doc_id long, pos int"
 
