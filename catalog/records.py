@@ -376,8 +376,8 @@ parsed as (select *, case when contains(value, chr(9)) then substr(value, strpos
   case when contains(value, chr(9)) then split_part(value, chr(9), 1) end as rel_path from lines where value <> '')"""
 
 
-def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = label_sources.label_parts(label_lines(spark, sf_dir))
+def parsed_lines(spark: SparkSession, sf_dir: str, split=label_sources.label_parts) -> DataFrame:
+    parts = split(label_lines(spark, sf_dir))
     good = F.size("parts") == 2
     return parts.select(
         "split", "line_no", "has_image", F.when(good, F.col("parts")[0]).alias("rel_path"), F.when(good, F.col("parts")[1]).alias("text")
@@ -396,7 +396,7 @@ from parsed group by split""",
     ),
 )
 def d20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.inventory(parsed_lines(spark, sf_dir), ["split"])
+    return audit.inventory(parsed_lines(spark, sf_dir, label_sources.line_parts), ["split"])
 
 
 # --- export ---------------------------------------------------------------------------------------------------

@@ -60,9 +60,14 @@ def read_split_lines(spark: SparkSession, data_dir: str, splits: tuple[str, ...]
     return lines.withColumn("split", found).where(F.col("split").isin(*splits))
 
 
+def line_parts(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Split all lines, empty ones included, at the first tab."""
+    return lines.withColumn("parts", F.split(F.col(value), "\t", 2))
+
+
 def label_parts(lines: DataFrame, value: str = "value") -> DataFrame:
     """Split non-empty lines at the first tab."""
-    return lines.where(F.col(value) != "").withColumn("parts", F.split(F.col(value), "\t", 2))
+    return line_parts(lines.where(F.col(value) != ""), value)
 
 
 def parse_labels(lines: DataFrame, value: str = "value") -> DataFrame:
