@@ -6,9 +6,10 @@ grows with the corpus and is never gathered); only its most frequent `HEAD` rows
 The model. Latent states emit symbols: the `SYMBOLS` most frequent words, the end, and `CLASSES` classes of all other words
 (by their first two letters). A word of a class has the probability of its class in the state times its own share in the
 class, add-one smoothed with one place for unseen words, so probabilities of all texts add up to one. The states are
-trained by Baum-Welch over all training documents: each task takes expected counts over its documents (in stretches of at
-most `STRETCH` symbols), the counts are summed per symbol across tasks by an ordinary aggregation, and the driver, which
-sees one row per symbol, makes the next parameters. The start is made of a few documents that differ most.
+trained by Baum-Welch over all training documents: each task takes expected counts over its whole documents, the counts
+are summed per symbol across tasks by an ordinary aggregation, and the driver, which sees one row per symbol, makes the
+next parameters. Texts of more than `PART` symbols are taken in parts that know the state before and the weights behind
+them, which gives the same counts as one long recursion. The start is made of a few documents that differ most.
 
 Scoring is the exact forward recursion, scaled, over the whole text. Many texts advance together, step by step. Texts of
 more than `PART` symbols are cut into parts, each run once from every state, and the parts' results are chained, which
@@ -41,10 +42,10 @@ SYMBOLS = 1 << 15
 CLASSES = 255
 STATES = 8
 PASSES = 6
-STRETCH = 128
 PART = 2048
-#: Parts that advance together, at most.
+#: Parts that advance together, at most, and their symbols in training.
 TOGETHER = 4096
+AT_ONCE = 1 << 19
 #: Documents that the start is made of.
 STARTERS = 64
 #: Weight, in tokens, of the corpus in the emissions of a state.
@@ -122,48 +123,83 @@ def encoder(sent, total: float, n_symbols: int):
     return run
 
 
-def expected(sequences: list[np.ndarray], start: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions (symbols x states) over stretches of sequences. emits: symbols x states."""
-    parts = sorted((s[i : i + STRETCH] for s in sequences for i in range(0, len(s), STRETCH)), key=len, reverse=True)
+def expected(sequences: list[np.ndarray], start: np.ndarray, moves: np.ndarray, emits: np.ndarray, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of starts, moves and emissions (symbols x states) over whole sequences. emits: symbols x states."""
+    pieces = [(s, None, np.ones(len(start))) for s in sequences if len(s) <= part]
+    pieces += pieces_of([s for s in sequences if len(s) > part], start, moves, emits, part)
+    pieces.sort(key=lambda p: -len(p[0]))
     sums = np.zeros(len(start)), np.zeros(moves.shape), np.zeros_like(emits)
-    for i in range(0, len(parts), TOGETHER):
-        for total, found in zip(sums, expected_of(parts[i : i + TOGETHER], start, moves, emits), strict=True):
+    i = 0
+    while i < len(pieces):
+        n = max(1, min(TOGETHER, AT_ONCE // len(pieces[i][0])))
+        for total, found in zip(sums, expected_of(pieces[i : i + n], start, moves, emits), strict=True):
             total += found
+        i += n
     return sums
 
 
-def expected_of(parts: list[np.ndarray], start: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same over sequences that advance together. parts: the longest first."""
+def pieces_of(sequences: list[np.ndarray], start: np.ndarray, moves: np.ndarray, emits: np.ndarray, part: int) -> list[tuple]:
+    """Parts of sequences with what reaches them from the rest of their sequence.
+
+    The distribution of the state before the part, given all symbols before it (None where the sequence starts), and the
+    weights of the state at its end: up to a factor, the probability of all symbols after it.
+    """
+    placed, state, logs = run_parts(sequences, start, moves, emits, part)
+    pieces = []
+    for k, s in enumerate(sequences):
+        offsets = range(0, len(s), part)
+        froms = {i: [placed[k, i, j] for j in range(len(start))] for i in offsets[1:]}
+        shares = {i: np.exp(logs[c] - logs[c].max()) for i, c in froms.items()}
+        before, now = {}, state[placed[k, 0, -1]]
+        for i in offsets[1:]:
+            before[i] = now
+            weights = now * shares[i]
+            now = weights @ state[froms[i]] / weights.sum()
+        after = np.ones(len(start))
+        for i in reversed(offsets):
+            pieces.append((s[i : i + part], before.get(i), after))
+            if i:
+                after = shares[i] * (state[froms[i]] @ after)
+                after = after / after.max()
+    return pieces
+
+
+def expected_of(pieces: list[tuple], start: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same over pieces (see `pieces_of`) that advance together. pieces: the longest first."""
     n_states = len(start)
     starts, moved, emitted = np.zeros(n_states), np.zeros((n_states, n_states)), np.zeros_like(emits)
-    sizes = np.array([len(p) for p in parts])
+    sizes = np.array([len(p) for p, _, _ in pieces])
     steps = int(sizes[0])
-    active = np.searchsorted(-sizes, -np.arange(steps), side="left")  # parts longer than t
-    symbols = np.zeros((steps, len(parts)), np.int64)
-    for k, p in enumerate(parts):
-        symbols[: len(p), k] = p
-    ahead = np.zeros((steps, len(parts), n_states))
+    active = np.searchsorted(-sizes, -np.arange(steps), side="left")  # pieces longer than t
+    ends = np.concatenate([[0], np.cumsum(active)])  # step t of piece k is row ends[t] + k
+    symbols = np.empty(ends[-1], np.int64)
+    for k, (p, _, _) in enumerate(pieces):
+        symbols[ends[: len(p)] + k] = p
+    goes_on = np.array([before is not None for _, before, _ in pieces])
+    before = np.array([np.zeros(n_states) if b is None else b for _, b, _ in pieces])
+    first = np.where(goes_on[:, None], before @ moves, start)
+    ahead = np.empty((len(symbols), n_states))
     for t in range(steps):
-        d = active[t]
-        a = (ahead[t - 1, :d] @ moves if t else np.broadcast_to(start, (d, n_states))) * emits[symbols[t, :d]]
-        ahead[t, :d] = a / a.sum(1, keepdims=True)
-    back = np.ones((len(parts), n_states))
+        d, at = active[t], ends[t]
+        a = (ahead[ends[t - 1] : ends[t - 1] + d] @ moves if t else first) * emits[symbols[at : at + d]]
+        ahead[at : at + d] = a / a.sum(1, keepdims=True)
+    back = np.array([after for _, _, after in pieces])
     for t in range(steps - 1, -1, -1):
-        d = active[t]
+        d, at = active[t], ends[t]
         if t + 1 < steps:
-            e = active[t + 1]
-            seen = emits[symbols[t + 1, :e]] * back[:e]
-            joint = ahead[t, :e] @ moves
+            e, then = active[t + 1], ends[t + 1]
+            seen = emits[symbols[then : then + e]] * back[:e]
+            joint = ahead[at : at + e] @ moves
             scale = 1 / (joint * seen).sum(1, keepdims=True)
-            moved += moves * ((ahead[t, :e] * scale).T @ seen)
+            moved += moves * ((ahead[at : at + e] * scale).T @ seen)
             back[:e] = (seen @ moves.T) * scale
-        gamma = ahead[t, :d] * back[:d]
-        ahead[t, :d] = gamma / gamma.sum(1, keepdims=True)
-    starts += ahead[0].sum(0)
-    inside = np.arange(steps)[:, None] < sizes[None, :]
-    flat, weights = symbols[inside], ahead[inside]
+        gamma = ahead[at : at + d] * back[:d]
+        ahead[at : at + d] = gamma / gamma.sum(1, keepdims=True)
+    seen = (emits[symbols[: len(pieces)]] * back)[goes_on]
+    moved += moves * ((before[goes_on] / (first[goes_on] * seen).sum(1, keepdims=True)).T @ seen)
+    starts += ahead[: len(pieces)][~goes_on].sum(0)
     for s in range(n_states):
-        emitted[:, s] = np.bincount(flat, weights[:, s], len(emits))
+        emitted[:, s] = np.bincount(symbols, ahead[:, s], len(emits))
     return starts, moved, emitted
 
 
@@ -188,8 +224,11 @@ def advanced(rows: list[np.ndarray], first: np.ndarray, moves: np.ndarray, emits
     return state / total[:, None], logs + np.log(total)
 
 
-def log_likelihoods(sequences: list[np.ndarray], start: np.ndarray, moves: np.ndarray, emits: np.ndarray, part: int = PART) -> np.ndarray:
-    """Natural logarithms of the probabilities of whole sequences, by the scaled forward recursion."""
+def run_parts(sequences: list[np.ndarray], start: np.ndarray, moves: np.ndarray, emits: np.ndarray, part: int) -> tuple[dict, np.ndarray, np.ndarray]:
+    """All parts of sequences, the first run once from the start (-1) and the others from every state before them.
+
+    Returns the place of each (sequence, offset, state before), the states at the end and the logarithms, as `advanced` has them.
+    """
     n_states = len(start)
     rows, firsts, owner = [], [], []
     for k, s in enumerate(sequences):
@@ -203,7 +242,13 @@ def log_likelihoods(sequences: list[np.ndarray], start: np.ndarray, moves: np.nd
     for i in range(0, len(order), TOGETHER):
         some = order[i : i + TOGETHER]
         state[i : i + TOGETHER], logs[i : i + TOGETHER] = advanced([rows[r] for r in some], np.array([firsts[r] for r in some]), moves, emits)
-    placed = {owner[r]: column for column, r in enumerate(order)}
+    return {owner[r]: column for column, r in enumerate(order)}, state, logs
+
+
+def log_likelihoods(sequences: list[np.ndarray], start: np.ndarray, moves: np.ndarray, emits: np.ndarray, part: int = PART) -> np.ndarray:
+    """Natural logarithms of the probabilities of whole sequences, by the scaled forward recursion."""
+    n_states = len(start)
+    placed, state, logs = run_parts(sequences, start, moves, emits, part)
     result = np.empty(len(sequences))
     for k, s in enumerate(sequences):
         column = placed[k, 0, -1]
@@ -254,7 +299,7 @@ def trained(encoded: DataFrame, shares: np.ndarray, passes: int = PASSES) -> tup
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             sums = None
-            for batch in buffered(batches, 1 << 19):
+            for batch in buffered(batches, 1 << 21):
                 found = expected(sequences_of(batch.column(0)), *sent.value)
                 sums = found if sums is None else tuple(a + b for a, b in zip(sums, found, strict=True))
             if sums is not None:

@@ -187,6 +187,32 @@ def test_expected_counts_by_brute_force():
         assert np.allclose(got, want)
 
 
+def slow_counts(sequence, start, moves, emits):
+    """Expected counts by one unscaled recursion over the whole sequence."""
+    n = len(sequence)
+    ahead, back = [start * emits[sequence[0]]], [np.ones(len(start))]
+    for s in sequence[1:]:
+        ahead.append(ahead[-1] @ moves * emits[s])
+    for s in sequence[:0:-1]:
+        back.insert(0, moves @ (emits[s] * back[0]))
+    total = ahead[-1].sum()
+    gamma = np.array(ahead) * np.array(back) / total
+    moved = sum(moves * np.outer(ahead[t], emits[sequence[t + 1]] * back[t + 1]) / total for t in range(n - 1)) + np.zeros(moves.shape)
+    emitted = np.zeros(emits.shape)
+    np.add.at(emitted, sequence, gamma)
+    return gamma[0], moved, emitted
+
+
+@pytest.mark.parametrize("part", [None, 64, 7, 1])
+def test_expected_counts_of_whole_texts(part):
+    rng = np.random.default_rng(2)
+    start, moves, emits = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T
+    sequences = [rng.integers(0, 5, n) for n in (1, 300, 7, 128, 129, 256, 64, 65)]
+    want = [sum(x) for x in zip(*(slow_counts(s, start, moves, emits) for s in sequences), strict=True)]
+    for got, right in zip(lm_scoring.expected(sequences, start, moves, emits, *([part] if part else [])), want, strict=True):
+        assert np.allclose(got, right)
+
+
 def test_language_model_scores(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HEAD", 60)
     monkeypatch.setattr(lm_scoring, "SYMBOLS", 20)
