@@ -9,7 +9,8 @@ class, add-one smoothed with one place for unseen words, so probabilities of all
 trained by Baum-Welch over all training documents: each task takes expected counts over its whole documents, the counts
 are summed per symbol across tasks by an ordinary aggregation, and the driver, which sees one row per symbol, makes the
 next parameters. Texts of more than `PART` symbols are taken in parts that know the state before and the weights behind
-them, which gives the same counts as one long recursion. The start is made of a few documents that differ most.
+them, which gives the same counts as one long recursion. The start is made of a few distinct documents that
+differ most, of any length; states left without one start from a seeded draw around the corpus.
 
 Scoring is the exact forward recursion, scaled, over the whole text. Many texts advance together, step by step. Texts of
 more than `PART` symbols are cut into parts, each run once from every state, and the parts' results are chained, which
@@ -273,13 +274,20 @@ def sequences_of(column: pa.Array) -> list[np.ndarray]:
 
 
 def started(codes: list[np.ndarray], shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First parameters: each state leans to one of the documents, chosen so that each differs most from those before."""
+    """First parameters: each state leans to one of the documents, chosen so that each differs most from those before.
+
+    States for which no other document is left are drawn around the corpus (seeded): equal states would stay equal.
+    """
     seen = np.array([np.bincount(s, minlength=len(shares)) / len(s) for s in codes]).reshape(-1, len(shares))
     root = np.sqrt(seen)
     emits = np.tile(shares[:, None], (1, STATES))
     near = np.zeros(len(codes))
-    for state in range(min(STATES, len(codes))):
-        k = int(near.argmin())
+    for state in range(STATES):
+        k = int(near.argmin()) if len(codes) else -1
+        if k < 0 or near[k] > 1 - 1e-9:
+            drawn = shares * np.exp(0.5 * np.random.default_rng(state).standard_normal(len(shares)))
+            emits[:, state] = drawn / drawn.sum()
+            continue
         near = np.maximum(near, root @ root[k])
         emits[:, state] = 0.5 * shares + 0.5 * seen[k]
     moves = np.full((STATES, STATES), 0.1 / (STATES - 1))
@@ -287,11 +295,19 @@ def started(codes: list[np.ndarray], shares: np.ndarray) -> tuple[np.ndarray, np
     return np.full(STATES, 1 / STATES), moves, emits
 
 
+def starters(encoded: DataFrame) -> list[np.ndarray]:
+    """Distinct texts that the start is made of, long ones by their first 2,000 symbols; those of under 100 come last."""
+    stretch = F.substring("codes", 1, 4000)
+    texts = encoded.select(stretch.alias("codes"), (F.octet_length("codes") < 200).alias("short"), F.xxhash64(stretch).alias("h"))
+    keys = [r.h for r in texts.select("short", "h").distinct().orderBy("short", "h").limit(STARTERS).collect()]
+    found = texts.where(F.col("h").isin(keys)).groupBy("short", "h").agg(F.min("codes").alias("codes")).orderBy("short", "h")
+    return sequences_of(found.select("codes").toArrow().column(0))
+
+
 def trained(encoded: DataFrame, shares: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """start, moves, emits of the model. encoded: doc_id, codes of the training documents; shares: of the symbols in the corpus."""
     context = encoded.sparkSession.sparkContext
-    first = encoded.where("octet_length(codes) BETWEEN 200 AND 4000").orderBy(F.xxhash64("codes")).limit(STARTERS)
-    model = started(sequences_of(first.select("codes").toArrow().column(0)), shares)
+    model = started(starters(encoded), shares)
     values = [f"s{s}" for s in range(STATES)]
     schema = "symbol int, " + ", ".join(f"{v} double" for v in values)
     for _ in range(passes):

@@ -213,6 +213,25 @@ def test_expected_counts_of_whole_texts(part):
         assert np.allclose(got, right)
 
 
+@pytest.mark.parametrize("sizes", [[9] * 40, [2500] * 40, [3], [150] * 5, []], ids=["short", "long", "one", "few", "none"])
+def test_states_differ_whatever_the_lengths(spark, sizes):
+    rng = np.random.default_rng(3)
+    texts = [np.concatenate([rng.integers(20 * (k % 2), 20 * (k % 2) + 20, n), [40]]).astype("<u2") for k, n in enumerate(sizes)]
+    frame = spark.createDataFrame([(bytearray(s.tobytes()),) for s in texts for _ in range(3)], "codes binary")
+    shares = np.full(41, 1 / 41)
+    assert len(lm_scoring.starters(frame)) == len(texts)
+    models = [lm_scoring.started(lm_scoring.starters(frame), shares)] + ([lm_scoring.trained(frame, shares, 2)] if len(texts) > 5 else [])
+    for _, _, emits in models:
+        assert np.allclose(emits.sum(0), 1)
+        assert all(np.abs(emits[:, a] - emits[:, b]).max() > 1e-6 for a in range(lm_scoring.STATES) for b in range(a))
+
+
+def test_copies_do_not_fill_the_start(spark):
+    copied = [np.arange(i, i + 120, dtype="<u2") for i in range(3)]
+    frame = spark.createDataFrame([(bytearray(s.tobytes()),) for s in copied for _ in range(100)], "codes binary")
+    assert sorted(int(s[0]) for s in lm_scoring.starters(frame)) == [0, 1, 2]
+
+
 def test_language_model_scores(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HEAD", 60)
     monkeypatch.setattr(lm_scoring, "SYMBOLS", 20)
