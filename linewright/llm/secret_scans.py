@@ -1,7 +1,9 @@
 """Credentials in documents: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of key characters, long ones with a digit, shorter ones behind `=` or `:`, and the known prefixes of
-cloud keys. Each is described by its length, character classes and transitions, the share covered by the frequent words of
+Candidates are private keys from BEGIN to END (without an END: with the lines of key characters behind BEGIN), the known
+prefixes of cloud keys, values of 8 or more characters assigned to a secret's name, whatever their characters (in quotes up
+to the closing quote of the line, else up to white space), and other runs of key characters with a digit: 16 or more, or 8
+behind `=` or `:`. Runs without a digit that no secret's name stands before are not candidates. Each is described by its length, character classes and transitions, the share covered by the frequent words of
 the corpus, signs of a path or an address around it, and the words beside it. A random forest trained on labelled findings
 gives the share of its trees that vote for a secret.
 
@@ -37,13 +39,25 @@ DICTIONARY = 500
 MASK = "[SECRET]"
 
 RUN = "A-Za-z0-9+/_-"
+SECRET_NAME = r"(?i)(?:passw|pwd|secret|token|api.?key|access.?key|auth|credential|bearer)"
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[^-]++|-(?!----)){0,200}-----END [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----|(?:\s{0,4}[A-Za-z0-9+/=]{16,}+){0,400})"
+)
+#: Behind a secret's name and an assignment: up to the closing quote, or up to white space without closing punctuation.
+NAMED = (
+    r"(?<=[=:>\s\"'`])(?<=[=:>][ \t]{0,4}[\"'`]?)"
+    rf"(?<={SECRET_NAME}[A-Za-z0-9_.-]{{0,24}}[\"'`)\]]{{0,2}}[ \t]{{0,4}}[=:]{{1,3}}>?[ \t]{{0,4}}[\"'`]?)"
+    r"(?:(?<=\")(?=(?:\\.|[^\"\\\n]){8})[^\"\\\n]*+(?:\\.[^\"\\\n]*+){0,400}(?=\")"
+    r"|(?<=')(?=(?:\\.|[^'\\\n]){8})[^'\\\n]*+(?:\\.[^'\\\n]*+){0,400}(?=')|(?<=`)[^`\n]{8,}+(?=`)"
+    r"|(?![=:>\"'`])\S{8,}?(?=[.,;:)\]}>\"'`]{0,3}(?:\s|$)))"
+)
 CANDIDATE = (
-    rf"(?<![{RUN}])(?:(?=[A-Za-z+/_-]{{0,200}}[0-9])(?:[{RUN}]{{16,}}|(?<=[=:][\"' ]{{0,3}})[{RUN}]{{8,}})"
-    r"|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)={0,2}"
+    rf"(?:{PRIVATE_KEY}|(?<![{RUN}])(?:(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{{30,}})|{NAMED}"
+    rf"|(?<![{RUN}])(?=[A-Za-z+/_-]*+[0-9])(?:[{RUN}]{{16,}}|(?<=[=:][\"' ]{{0,3}})[{RUN}]{{8,}}))={{0,2}}"
 )
-SECRET_NAME = r"(?i)(?:passw|pwd|secret|token|api.?key|access.?key|auth|credential|bearer)"
 OTHER_NAME = r"(?i)(?:card|visa|phone|tel|order|invoice|isbn|iban|commit|sha|md5|uuid|hash|version|revision|number)"
-KNOWN_KEY = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|-----BEGIN .*)$"
+KNOWN_KEY = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|-----BEGIN [\s\S]*)$"
 
 FEATURES = ("length", "digits", "upper", "lower", "transitions", "vowel_steps", "distinct", "covered", "slashes", "in_path", "assigned", "quoted", "secret_name", "other_name")
 
@@ -100,7 +114,7 @@ def features(c: Column, dictionary: list[str]) -> Column:
         "covered": covered,
         "slashes": share("[/_-]"),
         "in_path": c["before"].rlike(r"(?:://\S*|[/\\.@])$") | c["after"].rlike(r"^[/\\.@]\w"),
-        "assigned": c["before"].rlike(r"[=:][\"' ]{0,3}$"),
+        "assigned": c["before"].rlike(r"(?:[=:][\"' ]{0,3}|[=:]>?[ \t]{0,4}[\"'`]?)$"),
         "quoted": c["before"].rlike("[\"'`]$"),
         "secret_name": near.rlike(SECRET_NAME),
         "other_name": near.rlike(OTHER_NAME),
