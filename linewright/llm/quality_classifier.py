@@ -3,7 +3,7 @@
 1. Statistics of every text, by column expressions, written once to the shared folder.
 2. A forest of shallow trees on a bounded sample of labelled rows; every path from a root is a conjunctive rule such as
    `share_symbols > 0.1 AND n_words <= 900`.
-3. A logistic regression with lasso penalty over all rules; most weights become zero.
+3. A logistic regression with lasso penalty over all distinct rules; most weights become zero.
 4. The remaining rules, compiled into one column expression that scores all rows inside the JVM.
 
 Only the sample is gathered (`SAMPLE` labelled rows of each class at most, those with the lowest hash of their id); with
@@ -33,8 +33,6 @@ from linewright.llm.registry import query
 from linewright.llm.shared import SPACES, fold_of, small_table, staged
 
 SAMPLE = 8_000
-#: Rules offered to the lasso.
-MOST_RULES = 160
 PENALTY = 0.001
 
 STATISTICS = ("log_words", "word_length", "distinct_words", "symbols", "repeated", "dup_lines", "line_words", "upper", "digits", "exclamations", "bars", "stops", "endings")
@@ -115,7 +113,6 @@ def fit(rows: DataFrame, seed: int = 11) -> RuleModel:
     values = [F.col(n) for n in STATISTICS]
     forest = RandomForestClassifier(numTrees=24, maxDepth=3, seed=seed, featuresCol="x", featureSubsetStrategy="onethird").fit(table.select("label", array_to_vector(F.array(*STATISTICS)).alias("x")))
     rules = list(dict.fromkeys(path for tree in trees.forest(forest) for path in trees.paths(tree)))
-    rules = sorted(rules, key=len)[:MOST_RULES]
     if not rules:
         return RuleModel(math.log(n1 / n0))
     marks = F.array(*(F.when(holds(path, values), 1.0).otherwise(0.0) for path in rules))

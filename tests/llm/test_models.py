@@ -139,6 +139,28 @@ def test_rule_ensemble_on_held_out_rows(spark):
     assert len(tested) > 80 and sum(r.predicted == truth[r.doc_id] for r in tested) >= 0.98 * len(tested)
 
 
+def test_all_rules_are_offered_to_the_lasso(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(2), *(rng.random() for _ in quality_classifier.STATISTICS)) for i in range(600)]
+    frame = spark.createDataFrame(rows, ["doc_id", "label", *quality_classifier.STATISTICS])
+    grown, offered = [], []
+    forest, lasso = quality_classifier.trees.forest, quality_classifier.LogisticRegression
+
+    class Spy:
+        def __init__(self, **settings):
+            self.lasso = lasso(**settings)
+
+        def fit(self, table):
+            offered.append(table.first().x.size)
+            return self.lasso.fit(table)
+
+    monkeypatch.setattr(quality_classifier.trees, "forest", lambda model: grown.append(forest(model)) or grown[0])
+    monkeypatch.setattr(quality_classifier, "LogisticRegression", Spy)
+    quality_classifier.fit(frame)
+    paths = {path for tree in grown[0] for path in quality_classifier.trees.paths(tree)}
+    assert len(paths) > 160 and offered == [len(paths)]
+
+
 def test_rules_hold_like_their_conditions(spark):
     path = ((0, True, 1.0), (1, False, 2.0))
     rows = spark.createDataFrame([(2.0, 2.0), (1.0, 2.0), (2.0, 2.5)], "a double, b double")
