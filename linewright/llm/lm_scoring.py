@@ -179,25 +179,25 @@ def expected_of(pieces: list[tuple], start: np.ndarray, moves: np.ndarray, emits
     goes_on = np.array([before is not None for _, before, _ in pieces])
     before = np.array([np.zeros(n_states) if b is None else b for _, b, _ in pieces])
     first = np.where(goes_on[:, None], before @ moves, start)
-    ahead = np.empty((len(symbols), n_states))
+    ahead, scale = np.empty((len(symbols), n_states)), np.empty((len(symbols), 1))
     for t in range(steps):
         d, at = active[t], ends[t]
         a = (ahead[ends[t - 1] : ends[t - 1] + d] @ moves if t else first) * emits[symbols[at : at + d]]
-        ahead[at : at + d] = a / a.sum(1, keepdims=True)
+        scale[at : at + d, 0] = 1 / (a @ np.ones(n_states))
+        ahead[at : at + d] = a * scale[at : at + d]
+    # scaled so that ahead * back adds up to one at the last symbol, which then holds at all of them
     back = np.array([after for _, _, after in pieces])
+    back /= (ahead[ends[sizes - 1] + np.arange(len(pieces))] * back).sum(1, keepdims=True)
     for t in range(steps - 1, -1, -1):
         d, at = active[t], ends[t]
         if t + 1 < steps:
             e, then = active[t + 1], ends[t + 1]
-            seen = emits[symbols[then : then + e]] * back[:e]
-            joint = ahead[at : at + e] @ moves
-            scale = 1 / (joint * seen).sum(1, keepdims=True)
-            moved += moves * ((ahead[at : at + e] * scale).T @ seen)
-            back[:e] = (seen @ moves.T) * scale
-        gamma = ahead[at : at + d] * back[:d]
-        ahead[at : at + d] = gamma / gamma.sum(1, keepdims=True)
-    seen = (emits[symbols[: len(pieces)]] * back)[goes_on]
-    moved += moves * ((before[goes_on] / (first[goes_on] * seen).sum(1, keepdims=True)).T @ seen)
+            seen = emits[symbols[then : then + e]] * back[:e] * scale[then : then + e]
+            moved += moves * (ahead[at : at + e].T @ seen)
+            back[:e] = seen @ moves.T
+        ahead[at : at + d] *= back[:d]
+    seen = (emits[symbols[: len(pieces)]] * back * scale[: len(pieces)])[goes_on]
+    moved += moves * (before[goes_on].T @ seen)
     starts += ahead[: len(pieces)][~goes_on].sum(0)
     for s in range(n_states):
         emitted[:, s] = np.bincount(symbols, ahead[:, s], len(emits))
