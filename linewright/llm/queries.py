@@ -9,6 +9,7 @@ import linewright.llm.packing  # noqa: F401
 import linewright.llm.quality_classifier  # noqa: F401
 import linewright.llm.quality_rules  # noqa: F401
 import linewright.llm.secret_scans  # noqa: F401
+import linewright.llm.source_divergence  # noqa: F401
 import linewright.llm.suffix_dedup  # noqa: F401
 import linewright.llm.toxicity  # noqa: F401
 import linewright.llm.url_filters  # noqa: F401
