@@ -6,11 +6,12 @@ of `SCALE` parts, smoothed by two occurrences; two shares p and q are (p - q)^2
 source, how far every other source of its language is (summed over all kept terms), and the terms that most set it apart
 from its language. All arithmetic is in whole numbers.
 
-Late materialization: the tasks that read the texts write (language, source, 64-bit digest of the term, counts, term) once.
-From these files the counting reads, shuffles and sums digests and numbers only; the column of terms is not read. Terms come
-in for the digests that pass `MIN_DOCS`: the smallest and the largest string of a digest are equal unless two terms share
-it. Digests shared by several terms are split, that is counted again by the terms themselves and numbered in `twin`. After
-that, (digest, twin) stands for a term exactly, and strings are joined back only to the few rows that are returned.
+Late materialization: the tasks that read the texts write (language, source, 64-bit digest of the term, counts), and beside
+the first row of a term the term itself, once. From these files the counting reads, shuffles and sums digests and numbers
+only; the column of terms is not read. Terms come in for the digests that pass `MIN_DOCS`: the smallest and the largest
+string of a digest are equal unless two terms share it. Digests shared by several terms are split, that is counted again
+from the texts by the terms themselves and numbered in `twin`. After that, (digest, twin) stands for a term exactly, and
+strings are joined back only to the few rows that are returned.
 
 Distances between sources: of a pair's terms only those that one of both has are summed one by one; all others have the
 same two smallest shares, so their number is enough. The work is dealt in blocks of about `TERMS` terms and tiles of about
@@ -44,6 +45,8 @@ TOP = 10
 #: Kept terms of a block and sources of a tile's side, about.
 TERMS = 4096
 SOURCES = 256
+#: Bits of the table that tells which digests may pass: at most 2^20 rows of 16 bytes are sent to all tasks.
+BITS = 1 << 26
 
 PARTIAL = "lang string, source string, digest long, n long, docs long, term string"
 KEY = ("lang", "digest", "twin")
@@ -65,8 +68,11 @@ def terms_of(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return words.split(spaced, lower=False)
 
 
-def partials(mask: int):
-    """mapInArrow function: lang, source, text -> PARTIAL, each term once per group and slice."""
+def partials(mask: int, every_term: bool):
+    """mapInArrow function: lang, source, text -> PARTIAL, each term once per group and slice.
+
+    The string is null but for the first row of a term and language in a slice, unless every one is asked for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text"):
@@ -80,38 +86,62 @@ def partials(mask: int):
             keys, place = np.unique(group[in_doc // len(distinct)] * len(distinct) + in_doc % len(distinct), return_inverse=True)
             of, term = np.divmod(keys, len(distinct))
             digest = (words.hashes(distinct) & np.uint64(mask)).view(np.int64)
+            again = np.ones(len(keys), bool)
+            again[np.unique(of // len(source.dictionary) * len(distinct) + term, return_index=True)[1]] = False
             columns = [
                 lang.dictionary.take(pa.array(of // len(source.dictionary))),
                 source.dictionary.take(pa.array(of % len(source.dictionary))),
                 pa.array(digest[term]),
                 pa.array(np.bincount(place, n).astype(np.int64)),
                 pa.array(np.bincount(place)),
-                distinct.cast(pa.string()).take(pa.array(term)),
+                distinct.cast(pa.string()).take(pa.array(term, mask=None if every_term else again)),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "digest", "n", "docs", "term"])
 
     return run
 
 
-def counted(partial: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(kept terms, their occurrences per source): lang, digest, twin, n, term; and lang, source, digest, twin, n."""
+def may_pass(passing: DataFrame) -> DataFrame:
+    """word, bits: the digests that pass, as a table of `BITS` bits at most, 64 to a row, whatever their number."""
+    bit = F.pmod("digest", F.lit(BITS))
+    return passing.select(F.floor(bit / 64).alias("word"), F.expr("shiftleft(1L, int(pmod(digest, 64)))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def spelled(partial: DataFrame, passing: DataFrame) -> DataFrame:
+    """lang, digest, least, most: the smallest and the largest string of each digest that passes.
+
+    The table of bits keeps nearly all strings of rare terms in the tasks that read them; the exact join follows behind the
+    aggregation.
+    """
+    bits = F.broadcast(staged(may_pass(passing), "divergence-bits"))
+    word = F.floor(F.pmod("digest", F.lit(BITS)) / 64).alias("word")
+    some = partial.where("term IS NOT NULL").select("lang", "digest", "term", word).join(bits, "word")
+    some = some.where("(bits & shiftleft(1L, int(pmod(digest, 64)))) <> 0")
+    ends = some.groupBy("lang", "digest").agg(F.min("term").alias("least"), F.max("term").alias("most"))
+    return ends.join(passing.select("lang", "digest"), ["lang", "digest"], "left_semi")
+
+
+def counted(partial: DataFrame, min_docs: int, again) -> tuple[DataFrame, DataFrame]:
+    """(kept terms, their occurrences per source): lang, digest, twin, n, term; and lang, source, digest, twin, n.
+
+    again: a function that reads the texts once more, for PARTIAL with all strings; called only where terms share a digest.
+    """
     by_source = staged(partial.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts")
     passing = staged(by_source.groupBy("lang", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs), "divergence-passing")
-    spelled = partial.join(passing.select("lang", "digest"), ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(F.min("term").alias("least"), F.max("term").alias("most"))
-    spelled = staged(spelled, "divergence-terms")
-    one = spelled.where("least = most").select("lang", "digest", F.lit(0).alias("twin"), F.col("least").alias("term"))
+    ends = staged(spelled(partial, passing), "divergence-terms")
+    one = ends.where("least = most").select("lang", "digest", F.lit(0).alias("twin"), F.col("least").alias("term"))
     kept = passing.join(one, ["lang", "digest"]).select(*KEY, "n", "term")
     in_source = by_source.select("lang", "source", "digest", F.lit(0).alias("twin"), "n")
-    shared = spelled.where("least < most").select("lang", "digest")
+    shared = ends.where("least < most").select("lang", "digest")
     if not shared.isEmpty():
         # several terms with one digest: few, so they are counted by their strings
-        again = partial.join(shared, ["lang", "digest"], "left_semi").groupBy("lang", "digest", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-        again = staged(again, "divergence-shared")
-        twins = again.groupBy("lang", "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        apart_again = again().join(shared, ["lang", "digest"], "left_semi").groupBy("lang", "digest", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        apart_again = staged(apart_again, "divergence-shared")
+        twins = apart_again.groupBy("lang", "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         twins = twins.withColumn("twin", F.row_number().over(Window.partitionBy("lang", "digest").orderBy("term"))).where(F.col("docs") >= min_docs)
         twins = staged(twins.select(*KEY, "n", "term"), "divergence-twins")
         kept = kept.unionByName(twins)
-        in_source = in_source.unionByName(again.join(twins.select(*KEY, "term"), ["lang", "digest", "term"]).select("lang", "source", "digest", "twin", "n"))
+        in_source = in_source.unionByName(apart_again.join(twins.select(*KEY, "term"), ["lang", "digest", "term"]).select("lang", "source", "digest", "twin", "n"))
     kept = staged(kept, "divergence-kept")
     return kept, staged(in_source.join(kept.select(*KEY), list(KEY), "left_semi"), "divergence-kept-counts")
 
@@ -194,8 +224,9 @@ def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, diges
     digest_bits narrows the digests; any width gives the same rows, fewer bits only make more terms share one.
     """
     docs = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
-    partial = staged(docs.mapInArrow(partials((1 << digest_bits) - 1), PARTIAL), "divergence-partial")
-    kept, in_source = counted(partial, min_docs)
+    mask = (1 << digest_bits) - 1
+    partial = staged(docs.mapInArrow(partials(mask, False), PARTIAL), "divergence-partial")
+    kept, in_source = counted(partial, min_docs, lambda: docs.mapInArrow(partials(mask, True), PARTIAL))
     langs = kept.groupBy("lang").agg(F.count("*").alias("n_terms"), F.sum("n").alias("lang_total"))
     totals = in_source.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     occurring = staged(docs.select("lang", "source").distinct(), "divergence-groups")
