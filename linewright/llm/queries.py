@@ -11,6 +11,7 @@ import linewright.llm.quality_rules  # noqa: F401
 import linewright.llm.secret_scans  # noqa: F401
 import linewright.llm.source_divergence  # noqa: F401
 import linewright.llm.suffix_dedup  # noqa: F401
+import linewright.llm.tokenizer_alignment  # noqa: F401
 import linewright.llm.toxicity  # noqa: F401
 import linewright.llm.url_filters  # noqa: F401
 from linewright.llm.registry import ORACLES, QUERIES
