@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import linewright.llm.decontamination  # noqa: F401
+import linewright.llm.language_id  # noqa: F401
 import linewright.llm.lm_scoring  # noqa: F401
 import linewright.llm.near_dedup  # noqa: F401
 import linewright.llm.packing  # noqa: F401
