@@ -6,8 +6,8 @@
 3. A logistic regression with lasso penalty over all distinct rules; most weights become zero.
 4. The remaining rules, compiled into one column expression that scores all rows inside the JVM.
 
-Only the sample is gathered (`SAMPLE` labelled rows of each class at most, those with the lowest hash of their id); with
-fewer labelled rows all are used. Labels are never inputs of a score; nor are language, source or id. As the sample is not
+Trees and lasso see a sample (`SAMPLE` labelled rows of each class at most, those with the lowest hash of their id), written
+to the shared folder and read from there; with fewer labelled rows all are used. Labels are never inputs of a score; nor are language, source or id. As the sample is not
 drawn at the classes' own shares, the intercept is corrected for these.
 
 Defined results: a null or empty text has zero statistics and is scored like any other; null labels are left out of
@@ -18,10 +18,10 @@ table gives an empty result; columns besides doc_id and text are left out, whate
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from linewright.llm import trees
 from linewright.llm.quality_rules import measures
 from linewright.llm.registry import query
-from linewright.llm.shared import SPACES, fold_of, small_table, staged
+from linewright.llm.shared import SPACES, fold_of, staged
 
 SAMPLE = 8_000
 PENALTY = 0.001
@@ -90,33 +90,40 @@ def holds(path: tuple, values: list[Column]) -> Column:
     return condition
 
 
-def sample_of(rows: DataFrame, label: str, most: int, key: str = "doc_id") -> list:
+def sample_of(rows: DataFrame, label: str, most: int, key: str = "doc_id") -> DataFrame:
     """At most so many rows of each class, those with the lowest hash of the key."""
-    found = []
-    for value in (0, 1):
-        own = rows.where(F.col(label) == value).withColumn("h", F.xxhash64(key))
-        found += own.orderBy("h").limit(most).drop("h").collect()
-    return found
+    ordered = [F.xxhash64(key), *sorted(rows.columns)]
+    own = [rows.where(F.col(label) == value).orderBy(*ordered).limit(most) for value in (0, 1)]
+    return own[0].unionByName(own[1])
+
+
+def marks(rules: list[tuple], values: list[Column]) -> Column:
+    """array<double>: 1 for each rule that holds, else 0.
+
+    The rules share few conditions. These are evaluated once, and the rules are lists of their places in one literal, so the
+    expression does not grow with the number of rules.
+    """
+    conditions = {c: k for k, c in enumerate(dict.fromkeys(c for path in rules for c in path))}
+    held = F.array(*(holds((c,), values) for c in conditions))
+    places = F.from_json(F.lit(json.dumps([[conditions[c] for c in path] for path in rules])), "array<array<int>>")
+    return F.transform(F.array(held), lambda h: F.transform(places, lambda r: F.forall(r, lambda k: F.get(h, k)).cast("double")))[0]
 
 
 def fit(rows: DataFrame, seed: int = 11) -> RuleModel:
-    """rows: doc_id, label, STATISTICS, one row per labelled document."""
+    """rows: doc_id, label, STATISTICS, one row per labelled document. The sample is trained from files; none of it is gathered."""
     totals = {r.label: r.n for r in rows.where("label IN (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
         return RuleModel(30.0 if n1 else -30.0 if n0 else 0.0)
-    sample = sample_of(rows, "label", SAMPLE)
-    s1 = sum(r.label for r in sample)
-    shift = math.log(n1 / n0) - math.log(s1 / (len(sample) - s1))
-    columns = {"label": [float(r.label) for r in sample], **{n: [r[n] for r in sample] for n in STATISTICS}}
-    table = small_table(rows.sparkSession, columns, dict.fromkeys(columns, pa.float64()))
+    sample = staged(sample_of(rows.select("doc_id", "label", *STATISTICS), "label", SAMPLE).withColumn("label", F.col("label").cast("double")), "quality-sample")
+    shift = math.log(n1 / n0) - math.log(min(n1, SAMPLE) / min(n0, SAMPLE))
     values = [F.col(n) for n in STATISTICS]
-    forest = RandomForestClassifier(numTrees=24, maxDepth=3, seed=seed, featuresCol="x", featureSubsetStrategy="onethird").fit(table.select("label", array_to_vector(F.array(*STATISTICS)).alias("x")))
+    forest = RandomForestClassifier(numTrees=24, maxDepth=3, seed=seed, featuresCol="x", featureSubsetStrategy="onethird").fit(sample.select("label", array_to_vector(F.array(*STATISTICS)).alias("x")))
     rules = list(dict.fromkeys(path for tree in trees.forest(forest) for path in trees.paths(tree)))
     if not rules:
         return RuleModel(math.log(n1 / n0))
-    marks = F.array(*(F.when(holds(path, values), 1.0).otherwise(0.0) for path in rules))
-    lasso = LogisticRegression(maxIter=60, regParam=PENALTY, elasticNetParam=1.0, standardization=False, featuresCol="x").fit(table.select("label", array_to_vector(marks).alias("x")))
+    marked = staged(sample.select("label", marks(rules, values).alias("marks")), "quality-marks")
+    lasso = LogisticRegression(maxIter=60, regParam=PENALTY, elasticNetParam=1.0, standardization=False, featuresCol="x").fit(marked.select("label", array_to_vector("marks").alias("x")))
     weights = {path: float(w) for path, w in zip(rules, lasso.coefficients.toArray(), strict=True) if abs(w) > 1e-9}
     return RuleModel(float(lasso.intercept) + shift, weights)
 

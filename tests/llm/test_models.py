@@ -132,11 +132,53 @@ def test_rule_ensemble_on_held_out_rows(spark):
         t = cases.prose(rng, rng.randrange(30, 90))
         rows.append((i, t if good else (t.replace(" ", "$$$ ") if i % 2 else (t.upper().replace(" ", "!! "))), "s", "en"))
         labels.append((i, int(good)))
-    docs = cases.frame(spark, rows + [r for r in cases.awkward() if r[0] is None or r[0] >= 300 and r[0] < 0], extra=True)
+    awkward = [(None if r[0] is None else r[0] + 10_000, *r[1:]) for r in cases.awkward()]
+    docs = cases.frame(spark, rows + awkward, extra=True)
     got = quality_classifier.classified(docs, spark.createDataFrame(labels, "doc_id long, quality int"), "quality", 5, 0, 0.3).collect()
     truth = dict(labels)
     tested = [r for r in got if r.doc_id in truth and r.held_out]
     assert len(tested) > 80 and sum(r.predicted == truth[r.doc_id] for r in tested) >= 0.98 * len(tested)
+    others = [r for r in got if r.doc_id not in truth]
+    assert len(others) == len(awkward) and all(0 <= r.score <= 1 for r in others)
+    by_text = {}
+    for r in others:
+        by_text.setdefault(dict((a[0], a[1]) for a in awkward)[r.doc_id] or "", set()).add(round(r.score, 12))
+    assert all(len(s) == 1 for t, s in by_text.items() if t)
+
+
+def statistics_by_hand(text):
+    """The thirteen statistics of a text, straight from their definitions."""
+    text = text or ""
+    words = cases.WORD.findall(text)
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    repeated = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [line for line in text.split("\n") if cases.WORD.search(line)]
+    chars, n = max(1, sum(map(len, words))), max(1, len(words))
+    return [
+        math.log1p(len(words)), sum(map(len, words)) / n, len(set(words)) / n, sum(c in "#*$%&|<>" for c in text) / n, len(repeated) / n,
+        (len(lines) - len(set(lines))) / max(1, len(lines)), len(words) / max(1, len(lines)), len(re.findall("[A-Z]", text)) / chars,
+        len(re.findall("[0-9]", text)) / chars, text.count("!") / n, text.count("|") / n,
+        sum(text[i] in ".?" and (i + 1 == len(text) or text[i + 1] in " \t\n\x0b\f\r") for i in range(len(text))) / n,
+        sum(text[i] in ",;:" and (i + 1 == len(text) or text[i + 1] in " \t\n\x0b\f\r") for i in range(len(text))) / n,
+    ]
+
+
+def test_statistics_by_hand(spark):
+    odd = ["A b. C?\nA b. C?\n\n x, y; z:\n| a | b |!!", "one two three one two three", "Ends with. ", "\u00c9T\u00c9 3.14, 10%; #1 & <b>", "a.\tb?\x0bc:\rd;"]
+    rows = cases.awkward() + [(800 + k, t, "s", "en") for k, t in enumerate(odd)]
+    docs = cases.frame(spark, rows).select("text", quality_classifier.statistics(F.col("text")).alias("s"))
+    for r in docs.collect():
+        assert list(r.s) == pytest.approx(statistics_by_hand(r.text), abs=1e-12), r.text
+
+
+def test_marks_hold_like_rules(spark):
+    rng = random.Random(6)
+    conditions = [(rng.randrange(3), rng.random() < 0.5, rng.random()) for _ in range(12)]
+    rules = [tuple(rng.sample(conditions, rng.randrange(1, 4))) for _ in range(40)]
+    rows = [tuple(rng.random() for _ in range(3)) for _ in range(50)]
+    values = [F.col(c) for c in "abc"]
+    for r in spark.createDataFrame(rows, "a double, b double, c double").select("*", quality_classifier.marks(rules, values).alias("m")).collect():
+        assert r.m == [float(all((r[f] > t) == above for f, above, t in path)) for path in rules]
 
 
 def test_all_rules_are_offered_to_the_lasso(spark, monkeypatch):
