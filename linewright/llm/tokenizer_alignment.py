@@ -14,8 +14,8 @@ the pair that is the most frequent one of their B id.
   the turns before have written. Nothing is cut off, and no link is shuffled.
 
 Neither vocabulary has a token that crosses a single space or line break between other characters (B's is verified), so a
-text is aligned in the stretches between those, once per distinct stretch of a slice, with a bounded cache per task. A
-vocabulary that does not allow this is applied to whole texts.
+text is aligned in the stretches between those, once per distinct stretch of a slice. A vocabulary that does not allow
+this is applied to whole texts.
 
 Defined results: null and empty texts have no tokens, nor have texts that a vocabulary does not give back byte by byte;
 their numbers are 0 and their groups ''. Repeated rows count each, ids (null, repeated) are passed through, ties for the
@@ -25,7 +25,10 @@ besides doc_id and text are left out, whatever their names.
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -46,9 +49,11 @@ LEAVES = 32
 FAN_IN = 16
 #: Pairs whose counts are sent to all tasks at once (24 bytes each).
 MOST_PAIRS = 1 << 22
-#: Distinct stretches that a task keeps, and id pairs that it adds up before it writes them.
-CACHED = 200_000
-HELD = 2_000_000
+#: Distinct stretches that are encoded at once, and id pairs that a task adds up before it writes them.
+AT_ONCE = 4_096
+HELD = 1_000_000
+#: Bytes of text that are aligned at once; a single longer text is a slice of its own.
+SLICE_BYTES = 2 << 20
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
@@ -65,112 +70,172 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists one after the other, and how many each has."""
+    return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+class Strings:
+    """Byte strings by number, for whole arrays of numbers at once."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self.sizes = np.array([len(x) for x in strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the strings one after the other, and the end of each."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.data[np.arange(sizes.sum()) + np.repeat(self.starts[numbers] - (ends - sizes), sizes)], ends
+
+
+#: How byte-level vocabularies of this kind cut texts into words before they merge bytes.
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def merged_by_id(path: str):
+    """An encoder of the same vocabulary that merges the pair with the lowest id first, or None if that is not its rule.
+
+    It takes a fifth of the time. The two cut words by tables of different Unicode versions, so it is for texts of letters
+    below U+0280 alone, where these agree.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        described = json.load(file)
+    model, cut = described["model"], described["pre_tokenizer"] or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    plain = plain and not described["normalizer"] and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
+    if not plain:
+        return None
+    byte_of, vocabulary = byte_level(), model["vocab"]
+    ids = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(c not in vocabulary for c in byte_of) or any(i >= j for i, j in pairwise([max(vocabulary[c] for c in byte_of), *ids])):
+        return None
+    ranks = {bytes(byte_of[c] for c in t): vocabulary[t] for t in [*byte_of, *(t for t, k in vocabulary.items() if len(t) > 1 and all(c in byte_of for c in t))]}
+    merged = set(ids)
+    return tiktoken.Encoding("own", pat_str=WORD_PATTERN, mergeable_ranks={t: k for t, k in ranks.items() if len(t) == 1 or k in merged}, special_tokens={})
+
+
 class Aligner:
     """Tokens, groups and links of texts. Ids of a pair are one number: A's id times the size of B, and B's id."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         import tokenizers
 
         self.a = tokenizers.Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
+        self.merged_a = merged_by_id(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = byte_level()
-        self.bytes_a: dict[int, bytes] = {}
-        for token, k in self.a.get_vocab(with_added_tokens=False).items():
-            if all(c in byte_of for c in token):
-                self.bytes_a[k] = bytes(byte_of[c] for c in token)
+        spelled = {k: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else b"" for t, k in self.a.get_vocab().items()}
+        size_a = max(spelled) + 1
         self.size_b = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(k) for k in range(self.size_b)]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.spelled_a = Strings([spelled.get(k, b"") for k in range(size_a)])
+        self.spelled_b = Strings([bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)])
+        # each id as it stands inside its side of a group and at the end of it
+        self.written = Strings([b"%d%s" % (k, end) for size, last in ((size_a, b"|"), (self.size_b, b";")) for end in (b",", last) for k in range(size)])
         self.space = self.b.piece_to_id("▁")
         self.in_stretches = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.stretches: list[tuple[int, int, int, list[int], str] | None] = []
-
-    def learn(self, new: list[bytes]) -> None:
-        """Align stretches; one that a vocabulary does not give back byte by byte is kept as None."""
-        text = [s.decode() for s in new]
-        tokens_a = [e.ids for e in self.a.encode_batch(text, add_special_tokens=False)]
-        # B puts a space in front: it is the stretch's own one, or comes off again
-        tokens_b = self.b.encode([t[1:] if t[0] == " " else t for t in text], num_threads=1)
-        for stretch, a, b in zip(new, tokens_a, tokens_b, strict=True):
-            if stretch[:1] != b" ":
-                b = b[1:] if b[0] == self.space else []
-            self.known[stretch] = len(self.stretches)
-            self.stretches.append(self.aligned(stretch, a, b))
-
-    def aligned(self, stretch: bytes, a: list[int], b: list[int]) -> tuple[int, int, int, list[int], str] | None:
-        spelled_a, spelled_b = [self.bytes_a.get(k, b"") for k in a], [self.bytes_b[k] for k in b]
-        if b"".join(spelled_a) != stretch or b"".join(spelled_b) != stretch:
-            return None
-        links, groups = [], []
-        i = j = from_a = from_b = 0
-        end_a, end_b = len(spelled_a[0]), len(spelled_b[0])
-        while True:
-            links.append(a[i] * self.size_b + b[j])
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            i, j = i + step_a, j + step_b
-            if step_a and step_b:
-                groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                from_a, from_b = i, j
-                if i == len(a):
-                    return len(a), len(b), len(groups), links, ";".join(groups)
-            if step_a:
-                end_a += len(spelled_a[i])
-            if step_b:
-                end_b += len(spelled_b[j])
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where stretches begin: at texts, at single spaces and at line breaks between solid characters."""
         begins = np.zeros(len(data), bool)
         if self.in_stretches:
-            before, after = data[:-2], _SOLID[data[2:]]
-            here = data[1:-1]
+            before, here, after = data[:-2], data[1:-1], _SOLID[data[2:]]
             begins[1:-1] = after & (((here == 0x20) & (before != 0x20)) | ((here == 0x0A) & ((before >= 0x80) | _SOLID[before])))
         begins[offsets[:-1]] = True
         return np.flatnonzero(begins)
 
+    def tokens(self, stretches: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids one after the other, number of each stretch) of A and of B."""
+        out: list[tuple[list, list]] = [([], []), ([], [])]
+        for start in range(0, len(stretches), AT_ONCE):
+            some = stretches[start : start + AT_ONCE]
+            for (ids, many), found in zip(out, (self.tokens_a(some), self.tokens_b(some)), strict=True):
+                ids.append(found[0])
+                many.append(found[1])
+        nothing = [np.zeros(0, np.int64)]
+        return [(np.concatenate(ids or nothing), np.concatenate(many or nothing)) for ids, many in out]
+
+    def tokens_a(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((len(s) > 1 and _SOLID[s[1]] and max(s) < 0xCA for s in stretches), bool, len(stretches))
+        plain &= bool(self.in_stretches and self.merged_a)
+        ids, many = np.zeros(0, np.int64), np.zeros(len(stretches), np.int64)
+        if plain.any():
+            # one after the other they are cut where each alone is
+            some = [s for s, p in zip(stretches, plain, strict=True) if p]
+            ids = np.array(self.merged_a.encode_ordinary(b"".join(some).decode()), np.int64)
+            ends = np.searchsorted(np.cumsum(self.spelled_a.sizes[ids]), np.cumsum([len(s) for s in some]), "right")
+            many[plain] = np.diff(ends, prepend=0)
+        others = [s.decode() for s, p in zip(stretches, plain, strict=True) if not p]
+        if not others:
+            return ids, many
+        more, many[~plain] = flat([e.ids for e in self.a.encode_batch(others, add_special_tokens=False)])
+        out = np.empty(many.sum(), np.int64)
+        of_plain = np.repeat(plain, many)
+        out[of_plain], out[~of_plain] = ids, more
+        return out, many
+
+    def tokens_b(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """B puts a space in front: it is the stretch's own one, or comes off again."""
+        text = [s.decode() for s in stretches]
+        found = self.b.encode([t[1:] if t[0] == " " else t for t in text], num_threads=1)
+        return flat([ids[1:] if t[0] != " " and ids[0] == self.space else ids for t, ids in zip(text, found, strict=True)])
+
     def texts(self, text: pa.Array) -> Aligned:
         text = pc.fill_null(text.cast(pa.large_string()), "")
         filled = np.flatnonzero(pc.not_equal(text, "").to_numpy(zero_copy_only=False))
-        if len(self.known) > CACHED:
-            self.forget()
-        if not len(filled):
-            return Aligned(self, len(text), filled, np.zeros(0, np.int64), np.zeros(0, np.int64), [])
         spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text.take(pa.array(filled)), pa.scalar("", pa.large_string()))
         _, offsets, data = spaced.buffers()
-        offsets = np.frombuffer(offsets, np.int64)[: len(spaced) + 1]
-        bytes_ = np.frombuffer(data, np.uint8)[: offsets[-1]]
-        starts = self.starts(bytes_, offsets)
-        bounds = np.append(starts, offsets[-1])
-        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), data])
+        offsets = np.frombuffer(offsets, np.int64)[: len(spaced) + 1] if len(spaced) else np.zeros(1, np.int64)
+        starts = self.starts(np.frombuffer(data or b"", np.uint8)[: offsets[-1]], offsets)
+        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, offsets[-1])), data or pa.py_buffer(b"")])
         codes, distinct = words.coded(cut)
-        distinct = distinct.to_pylist()
-        new = [s for s in distinct if s not in self.known]
-        if new:
-            self.learn(new)
-        return Aligned(self, len(text), filled, codes, np.searchsorted(starts, offsets[:-1]), [self.stretches[self.known[s]] for s in distinct])
+        return Aligned(self, len(text), filled, codes, np.searchsorted(starts, offsets[:-1]), distinct.to_pylist())
 
 
 class Aligned:
-    """The alignment of the texts of a slice: of each its stretches, of each distinct stretch its numbers."""
-
-    def __init__(self, aligner: Aligner, n_rows: int, filled: np.ndarray, codes: np.ndarray, first: np.ndarray, stretches: list) -> None:
-        broken = np.array([s is None for s in stretches], bool)
-        last = np.append(first[1:], len(codes))
-        whole = ~np.logical_or.reduceat(broken[codes], first) if len(first) else np.zeros(0, bool)
-        self.size_b, self.n_rows = aligner.size_b, n_rows
-        self.rows, self.first, self.last, self.codes = filled[whole], first[whole], last[whole], codes
-        self.groups = ["" if s is None else s[4] for s in stretches]
-        self.numbers = np.array([(0, 0, 0, 0) if s is None else (s[0], s[1], s[2], len(s[3])) for s in stretches], np.int64).reshape(-1, 4)
-        self.links = np.array([k for s in stretches if s is not None for k in s[3]], np.int64)
+    """The alignment of the texts of a slice: of each its stretches, of each distinct stretch its numbers.
+
+    The tokens of all stretches lie one after the other, as the bytes do. Every place where a token of A or B ends is the end
+    of one link, that of the two tokens which hold the byte before; where both end, a group ends.
+    """
+
+    def __init__(self, aligner: Aligner, n_rows: int, filled: np.ndarray, codes: np.ndarray, first: np.ndarray, stretches: list[bytes]) -> None:
+        (a, n_a), (b, n_b) = aligner.tokens(stretches)
+        n = len(stretches)
+        size = np.fromiter(map(len, stretches), np.int64, n)
+        data = np.frombuffer(b"".join(stretches), np.uint8)
+        of_a, of_b, of_byte = (np.repeat(np.arange(n), many) for many in (n_a, n_b, size))
+        good = np.ones(n, bool)
+        for strings, ids, of in ((aligner.spelled_a, a, of_a), (aligner.spelled_b, b, of_b)):
+            good &= np.bincount(of, strings.sizes[ids], n) == size
+        for strings, ids, of in ((aligner.spelled_a, a, of_a), (aligner.spelled_b, b, of_b)):
+            here = good[of_byte]
+            other = strings.joined(ids[good[of]])[0] != data[here]
+            good &= np.bincount(of_byte[here][other], minlength=n) == 0
+        a, b, of_a, of_b = a[good[of_a]], b[good[of_b]], of_a[good[of_a]], of_b[good[of_b]]
+        ends_a, ends_b = np.cumsum(aligner.spelled_a.sizes[a]), np.cumsum(aligner.spelled_b.sizes[b])
+        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        ends = ends[np.diff(ends, prepend=0) > 0]
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        both = (ends_a[at_a] == ends) & (ends_b[at_b] == ends)
+        owner = of_a[at_a]
+        self.aligner, self.a, self.b, self.ends_a, self.ends_b, self.cuts = aligner, a, b, ends_a, ends_b, ends[both]
+        self.links = a[at_a] * aligner.size_b + b[at_b]
+        counts = (of_a, of_b, owner[both], owner)
+        self.numbers = np.stack([np.bincount(of, minlength=n) for of in counts], axis=1) if n else np.zeros((0, 4), np.int64)
         self.ends = np.cumsum(self.numbers[:, 3])
-        used = np.repeat(whole, last - first)
-        self.times = np.bincount(codes[used], minlength=len(stretches))
+        last = np.append(first[1:], len(codes))
+        whole = np.logical_and.reduceat(good[codes], first) if len(first) else np.zeros(0, bool)
+        self.size_b, self.n_rows, self.codes = aligner.size_b, n_rows, codes
+        self.rows, self.first, self.last = filled[whole], first[whole], last[whole]
+        self.times = np.bincount(codes[np.repeat(whole, last - first)], minlength=n)
 
     def per_row(self, of_stretch: np.ndarray) -> np.ndarray:
         """Sums over the stretches of each text; 0 for texts without tokens."""
@@ -186,11 +251,24 @@ class Aligned:
     def pair_numbers(self) -> tuple[np.ndarray, np.ndarray]:
         return summed(self.links, np.repeat(self.times, self.numbers[:, 3]))
 
+    def groups(self) -> list[bytes]:
+        """The groups of each distinct stretch, each with `;` behind it."""
+        size_a = len(self.aligner.spelled_a.sizes)
+        group_a, group_b = np.searchsorted(self.cuts, self.ends_a), np.searchsorted(self.cuts, self.ends_b)
+        upto_a, upto_b = np.searchsorted(self.ends_a, self.cuts, "right"), np.searchsorted(self.ends_b, self.cuts, "right")
+        entries = np.empty(len(self.a) + len(self.b), np.int64)
+        entries[np.arange(len(self.a)) + np.append(0, upto_b)[group_a]] = self.a + size_a * (self.ends_a == self.cuts[group_a])
+        entries[np.arange(len(self.b)) + upto_a[group_b]] = 2 * size_a + self.b + self.size_b * (self.ends_b == self.cuts[group_b])
+        data, ends = self.aligner.written.joined(entries)
+        text = data.tobytes()
+        cuts = np.append(0, ends)[np.append(0, np.cumsum(self.numbers[:, 0] + self.numbers[:, 1]))].tolist()
+        return [text[i:j] for i, j in pairwise(cuts)]
+
     def joined_groups(self) -> list[str]:
         out = [""] * self.n_rows
-        codes, of = self.codes.tolist(), self.groups.__getitem__
-        for row, a, b in zip(self.rows.tolist(), self.first.tolist(), self.last.tolist(), strict=True):
-            out[row] = ";".join(map(of, codes[a:b]))
+        codes, of = self.codes.tolist(), self.groups().__getitem__
+        for row, i, j in zip(self.rows.tolist(), self.first.tolist(), self.last.tolist(), strict=True):
+            out[row] = b"".join(map(of, codes[i:j]))[:-1].decode()
         return out
 
 
@@ -212,7 +290,7 @@ def links_of_parts(path_a: str, path_b: str):
         def batch_of(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part, np.int64)), pa.array(keys), pa.array(n)], names=["part", "pair", "n"])
 
-        for batch in words.slices(batches, "text"):
+        for batch in words.slices(batches, "text", SLICE_BYTES):
             more = aligner.texts(batch.column(0)).pair_numbers()
             keys, n = summed(np.concatenate([keys, more[0]]), np.concatenate([n, more[1]]))
             if len(keys) > HELD:
@@ -303,7 +381,7 @@ def judged(path_a: str, path_b: str, sent, last: bool):
         aligner = Aligner(path_a, path_b)
         most, n_buckets, buckets = sent.value
         tables = {b: (restored(*table), np.frombuffer(counts, "<i8")) for b, (*table, counts) in buckets.items()}
-        for batch in words.slices(batches, "text"):
+        for batch in words.slices(batches, "text", SLICE_BYTES):
             own = aligner.texts(batch.column(1))
             pairs, at = np.unique(own.links, return_inverse=True)
             count = np.zeros(len(pairs), np.int64)

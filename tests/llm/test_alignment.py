@@ -106,7 +106,7 @@ def test_alignment_like_whole_encoding(spark, monkeypatch, small):
     """Also with small buckets, a deep tree and several turns of the second pass."""
     rows = cases.awkward() + [(600 + i, t, "s", "en") for i, t in enumerate(ODD)]
     if small:
-        for name, value in (("BUCKET", 64), ("LEAVES", 1), ("FAN_IN", 2), ("MOST_PAIRS", 1 << 14), ("CACHED", 50), ("HELD", 100)):
+        for name, value in (("BUCKET", 64), ("LEAVES", 1), ("FAN_IN", 2), ("MOST_PAIRS", 1 << 14), ("AT_ONCE", 50), ("HELD", 100)):
             monkeypatch.setattr(tokenizer_alignment, name, value)
         monkeypatch.setattr(tokenizer_alignment, "MOST_PAIRS", 64 * 8)
     docs = cases.frame(spark, rows, extra=True).repartition(7)
