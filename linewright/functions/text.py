@@ -207,3 +207,8 @@ def classify_param(key: Column) -> Column:
         .when(k.rlike(r"^(?:backbone|neck)"), "backbone")
         .otherwise("other")
     )
+
+
+def utc_timestamp() -> Column:
+    """Start of the query as ISO text with microseconds, in the session's time zone (UTC by `build_session`)."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")

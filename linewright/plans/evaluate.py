@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.operators.predict import batch_predict
+from linewright.functions.text import utc_timestamp
+from linewright.operators.predict import Recogniser, batch_predict
 from linewright.operators.scoring import aggregate_scores, score_rows
 from linewright.session import stage
 from linewright.sinks.corpus import scored_rows_sink
 from linewright.sinks.runs import metrics_append, provenance_flag, provenance_sink, sidecar_rows
 
 
-def evaluate(rows: DataFrame, recognise: Callable[[str], str], source: str = "path") -> DataFrame:
-    """Scored rows of one recogniser."""
-    return score_rows(batch_predict(rows, recognise, source))
+def evaluate(rows: DataFrame, recognise: Recogniser | None = None, source: str = "path", **how) -> DataFrame:
+    """Scored rows of one recogniser; `how` are further arguments of `batch_predict`."""
+    return score_rows(batch_predict(rows, recognise, source, **how))
 
 
 def record(
@@ -51,7 +50,7 @@ def record(
         "der_insertion_rate",
         (F.coalesce(flag, F.lit("unknown")) if flag is not None else F.lit("unknown")).alias("phantom"),
         F.lit(f"{meta_dir.rstrip('/')}/run={model}_{split}" if provenance is not None else "").alias("meta_path"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
+        utc_timestamp().alias("timestamp"),
     )
     metrics = stage(metrics, "metrics")
     if provenance is not None:
