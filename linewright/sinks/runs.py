@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.constants import METRICS_COLUMNS
 from linewright.functions.text import phantom_flag
+from linewright.sources import stores
 
 
 def align_columns(rows: DataFrame, header: list[str]) -> DataFrame:
@@ -17,15 +21,47 @@ def align_columns(rows: DataFrame, header: list[str]) -> DataFrame:
     )
 
 
-def metrics_append(rows: DataFrame, path: str) -> None:
-    """Append metrics rows to a CSV log. A new log gets the full header; the header of an existing one is kept."""
-    try:
-        header = rows.sparkSession.read.csv(path, header=True, escape='"').columns
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        header = list(METRICS_COLUMNS)
-    align_columns(rows, header).write.mode("append").csv(path, header=True, emptyValue="", escape='"')
+#: Names beginning with an underscore are not read as rows of the log.
+_HEADER, _NUMBERS = "_header", "_numbers"
+
+
+def log_header(spark: SparkSession, path: str) -> list[str]:
+    """Columns of a log. A log without files gets the full header; whoever settles it first, all writers use the same."""
+    while (text := stores.small_text(spark, f"{path}/{_HEADER}")) is None:
+        try:
+            header = spark.read.csv(path, header=True, escape='"').columns
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            header = list(METRICS_COLUMNS)
+        stores.claimed(spark, f"{path}/{_HEADER}", json.dumps(header))
+    return json.loads(text)
+
+
+def next_number(spark: SparkSession, path: str) -> int:
+    """A number above those of all appends before, that no other append gets."""
+    while True:
+        taken = [int(n) for n in stores.names_in(spark, f"{path}/{_NUMBERS}") if n.isdigit()]
+        number = max(taken, default=0) + 1
+        if stores.claimed(spark, f"{path}/{_NUMBERS}/{number}", ""):
+            return number
+
+
+def metrics_append(rows: DataFrame, path: str) -> int:
+    """Append metrics rows to a CSV log and return the number of the append, which orders the log's rows.
+
+    A new log gets the full header; the header of an existing one is kept. Several writers may append at the same time,
+    also to a new log. The rows are written aside first, then the append takes its number, and its files get names with it.
+    """
+    spark = rows.sparkSession
+    path = path.rstrip("/")
+    aside = f"{path}/_aside-{uuid.uuid4().hex}"
+    align_columns(rows, log_header(spark, path)).write.csv(aside, header=True, emptyValue="", escape='"')
+    number = next_number(spark, path)
+    for part, name in enumerate(n for n in stores.names_in(spark, aside) if n.endswith(".csv")):
+        stores.moved(spark, f"{aside}/{name}", f"{path}/append-{number:012d}-{part:06d}.csv")
+    stores.dropped(spark, aside)
+    return number
 
 
 def with_digest(files: DataFrame) -> DataFrame:

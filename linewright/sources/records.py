@@ -22,8 +22,8 @@ _LOG_TYPES = {
 def read_metrics_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows of a metrics log as strings, whatever its header, with `log_ord` as their order.
 
-    Rows are ordered by their own `timestamp`, where the log has one, then by the modification time of the files, which
-    are appended to and never rewritten.
+    Rows are ordered by their own `timestamp`, where the log has one, then by the number of their append; files that have
+    none come before and are ordered by their modification time.
     """
     rows = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, escape='"')
     stamp = F.col("timestamp").try_cast("timestamp") if "timestamp" in rows.columns else F.lit(None).cast("timestamp")
@@ -31,7 +31,8 @@ def read_metrics_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "*",
         F.struct(
             stamp.alias("stamped"),
-            F.col("_metadata.file_modification_time").alias("written"),
+            F.regexp_extract(F.col("_metadata.file_name"), r"^append-(\d+)-\d+\.csv$", 1).try_cast("long").alias("append"),
+            F.when(~F.col("_metadata.file_name").startswith("append-"), F.col("_metadata.file_modification_time")).alias("written"),
             plain_path(F.col("_metadata.file_path")).alias("file"),
             F.col("_metadata.file_block_start").alias("block_start"),
             F.monotonically_increasing_id().alias("scan_id"),

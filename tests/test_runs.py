@@ -1,4 +1,6 @@
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,8 +9,9 @@ from linewright.operators import audit, keep, runs
 from linewright.operators.predict import batch_predict, failure_counts, with_configs
 from linewright.plans.compile import compile_tables
 from linewright.plans.evaluate import evaluate, record
-from linewright.sinks.runs import align_columns, metrics_append
-from linewright.sources import records
+from linewright.constants import METRICS_COLUMNS
+from linewright.sinks.runs import align_columns, log_header, metrics_append
+from linewright.sources import records, stores
 
 # Rates of a metrics log in file order, with runs repeated later in the log.
 LOG = [
@@ -80,6 +83,34 @@ def test_append_keeps_an_old_header(spark, tmp_path):
     assert records.typed_metrics(rows).first()["wer"] is None
 
 
+def test_two_writers_of_a_fresh_log(spark, tmp_path):
+    """Each append is whole, has a number of its own, and the header is one of the two."""
+    path = str(tmp_path / "new" / "log")
+    short = spark.createDataFrame([(f"s{k}", "test", "1") for k in range(3)], "model string, split string, n string")
+    wide = spark.createDataFrame([(f"w{k}", "test", "2", "x") for k in range(3)], "model string, split string, n string, unknown string")
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda k: metrics_append((short if k % 2 else wide).coalesce(1), path), range(8)))
+    assert sorted(numbers) == list(range(1, 9))
+    rows = records.read_metrics_log(spark, path)
+    assert rows.columns == [*METRICS_COLUMNS, "log_ord"]
+    models = [r["model"] for r in rows.orderBy("log_ord").collect()]
+    by_number = sorted(range(8), key=lambda k: numbers[k])
+    assert models == [f"{'s' if k % 2 else 'w'}{j}" for k in by_number for j in range(3)]
+    assert not [n for n in os.listdir(path) if n.startswith("_aside") or n.endswith(".tmp")]
+    assert metrics_append(short.limit(0), path) == 9 and rows.count() == 24
+
+
+def test_header_is_settled_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    with ThreadPoolExecutor(6) as pool:
+        headers = list(pool.map(lambda k: log_header(spark, path), range(6)))
+    assert all(h == list(METRICS_COLUMNS) for h in headers)
+    with ThreadPoolExecutor(6) as pool:
+        claims = list(pool.map(lambda k: stores.claimed(spark, f"{path}/one", str(k)), range(6)))
+    assert sum(claims) == 1 and stores.small_text(spark, f"{path}/one") == str(claims.index(True))
+    assert stores.small_text(spark, f"{path}/none") is None and stores.names_in(spark, f"{path}/none") == []
+
+
 def test_provenance_audit(spark):
     log = spark.createDataFrame(
         [("ok", "t", "false"), ("ph", "t", "n/a"), ("none", "t", " TRUE"), ("none2", "t", None), ("stale", "t", ""), ("bad", "t", "true"), ("both", "t", "true")],
