@@ -40,9 +40,24 @@ def skipped_lines(lines: DataFrame) -> DataFrame:
 
 FAN_IN = 4096
 LEVELS = 5  # 4096 ** 5 is above every line number
+#: Ids of a split up to which one task may hash them in a row.
+FLAT = 100_000
 
 
-def ids_digest(ids: DataFrame, name: str = "ids_sha256") -> DataFrame:
+def ids_digest(ids: DataFrame, most: int = FLAT) -> DataFrame:
+    """`ids_sha256` per split: SHA-256 of the newline-joined ids in line order, for splits of at most `most` ids.
+
+    This hash can only be computed from the first id to the last, by one task. Larger splits get NULL; `ids_tree_digest`
+    has a digest for splits of any size.
+    """
+    sizes = ids.groupBy("split").agg(F.count("*").alias("n"))
+    short = ids.join(sizes.where(F.col("n") <= most), "split", "left_semi")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("line_no"), F.col("id")))), lambda x: x["id"])
+    hashed = short.groupBy("split").agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("ids_sha256"))
+    return sizes.select("split").join(hashed, "split", "left")
+
+
+def ids_tree_digest(ids: DataFrame, name: str = "ids_tree_sha256") -> DataFrame:
     """An order-sensitive digest of the ids of each split, by a tree that no task sees more than `FAN_IN` children of.
 
     SHA-256 of the newline-joined ids of each run of FAN_IN line numbers, then of the digests of each FAN_IN runs, and so
@@ -56,13 +71,13 @@ def ids_digest(ids: DataFrame, name: str = "ids_sha256") -> DataFrame:
     return level.select("split", F.col("part").alias(name))
 
 
-def export_manifest(lines: DataFrame, samples: DataFrame) -> DataFrame:
-    """Per split: exported samples, skipped lines by reason, id digest. The skipped lines themselves are a table."""
+def export_manifest(lines: DataFrame, samples: DataFrame, most: int = FLAT) -> DataFrame:
+    """Per split: exported samples, skipped lines by reason, both id digests. The skipped lines themselves are a table."""
     counted = with_skip_reason(lines).groupBy("split").agg(
         F.count_if(F.col("reason").isNull()).alias("exported"),
         F.count_if(F.col("reason") == "not_two_tab_fields").alias("skipped_malformed"),
         F.count_if(F.col("reason") == "missing_image").alias("skipped_missing_image"),
     )
-    return counted.join(ids_digest(samples), "split", "left").withColumn(
-        "ids_sha256", F.coalesce("ids_sha256", F.sha2(F.lit("").cast("binary"), 256))
-    )
+    nothing = F.when(F.col("exported") == 0, F.sha2(F.lit("").cast("binary"), 256))
+    digests = {name: F.coalesce(name, nothing) for name in ("ids_sha256", "ids_tree_sha256")}
+    return counted.join(ids_digest(samples, most), "split", "left").join(ids_tree_digest(samples), "split", "left").withColumns(digests)

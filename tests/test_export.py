@@ -38,7 +38,10 @@ def test_records_and_manifest(spark, tmp_path):
     assert skipped == [("test", 2, "not_two_tab_fields", None), ("test", 3, "missing_image", "images/test/gone.png")]
     manifest = {r["split"]: r for r in export.export_manifest(data, samples).collect()}
     assert (manifest["test"]["exported"], manifest["test"]["skipped_malformed"], manifest["test"]["skipped_missing_image"]) == (2, 1, 1)
-    assert manifest["train"]["ids_sha256"] == tree_digest({1: "z"})
+    assert manifest["train"]["ids_tree_sha256"] == tree_digest({1: "z"})
+    assert manifest["test"]["ids_sha256"] == hashlib.sha256("\n".join(w["id"] for w in written).encode()).hexdigest()
+    longer = {r["split"]: r["ids_sha256"] for r in export.export_manifest(data, samples, most=1).collect()}
+    assert longer == {"test": None, "train": hashlib.sha256(b"z").hexdigest()}
 
 
 def tree_digest(parts):
@@ -54,10 +57,12 @@ def test_id_digest_keeps_order(spark):
     ids = [("a", i, f"id{i}") for i in range(5000)] + [("b", 1, "x")] + [("c", i * 10**13, f"{i}") for i in range(50)]
     random.Random(1).shuffle(ids)
     df = spark.createDataFrame(ids, "split string, line_no long, id string").repartition(13)
-    got = {r["split"]: r["ids_sha256"] for r in export.ids_digest(df).collect()}
+    flat = {r["split"]: r["ids_sha256"] for r in export.ids_digest(df, 4999).collect()}
+    assert flat == {s: None if s == "a" else hashlib.sha256("\n".join(i for t, n, i in sorted(ids) if t == s).encode()).hexdigest() for s in "abc"}
+    got = {r["split"]: r["ids_tree_sha256"] for r in export.ids_tree_digest(df).collect()}
     assert got == {s: tree_digest({n: i for t, n, i in ids if t == s}) for s in "abc"}
     swapped = df.withColumn("line_no", F.expr("case line_no when 1 then 2 when 2 then 1 else line_no end"))
-    assert {r["split"]: r["ids_sha256"] for r in export.ids_digest(swapped).collect()}["a"] != got["a"]
+    assert {r["split"]: r["ids_tree_sha256"] for r in export.ids_tree_digest(swapped).collect()}["a"] != got["a"]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "Coalesce 1" not in plan
 
