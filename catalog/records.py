@@ -358,22 +358,38 @@ def a03(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql("select line_no, width, height from labels"),
 )
 def a04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def four_bytes(c):
-        return F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0"))
+    """Every row is the head of a file of some format, where its size fits that format; without a size it is no image."""
 
-    head = F.unhex(F.lit("89504E470D0A1A0A0000000D49484452"))
-    # A row without dimensions gets bytes that are no image.
-    content = F.coalesce(
-        F.concat(head, four_bytes(F.col("width")), four_bytes(F.col("height"))), F.col("text").cast("binary")
-    )
-    return labels(spark, sf_dir).select("line_no", content.alias("content")).withColumns(
-        images.png_dims(F.col("content"))
-    ).drop("content")
+    def big(c, n: int):
+        return F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
+
+    def little(c, n: int):
+        return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(c.cast("long"), 8 * k) % 256), 2, "0") for k in range(n))))
+
+    def plain(digits: str):
+        return F.unhex(F.lit(digits))
+
+    w, h = F.col("width"), F.col("height")
+    exif = F.concat(plain("FFD8FFE1"), big(F.length("text") % 60000 + 2, 2), F.substring(F.rpad("text", 60000, "x"), 1, F.length("text") % 60000).cast("binary"))
+    heads = [
+        F.concat(plain("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4)),
+        F.concat(plain("424D" + 12 * "00" + "28000000"), little(w, 4), little(-h, 4)),
+        F.concat(plain("52494646000000005745425056503858" + 8 * "00"), little(w - 1, 3), little(h - 1, 3)),
+        F.concat(plain("49492A00080000000200" + "0001040001000000"), little(w, 4), plain("0101040001000000"), little(h, 4)),
+        F.concat(plain("474946383961"), little(w, 2), little(h, 2)),
+        F.concat(exif, plain("FFC2000B08"), big(h, 2), big(w, 2), plain("01")),
+    ]
+    kind = F.col("line_no") % F.when(w < 65536, 6).otherwise(4)
+    content = F.coalesce(*(F.when(kind == k, head) for k, head in enumerate(heads)), F.col("text").cast("binary"))
+    sized = labels(spark, sf_dir).select("line_no", images.content_size(content).alias("size"))
+    return sized.select("line_no", "size.width", "size.height")
 
 
-INVENTORY = LINES + """,
-parsed as (select *, case when contains(value, chr(9)) then substr(value, strpos(value, chr(9)) + 1) end as text,
-  case when contains(value, chr(9)) then split_part(value, chr(9), 1) end as rel_path from lines where value <> '')"""
+ALL_LINES = LINES + """,
+every_line as (select *, case when contains(value, chr(9)) then substr(value, strpos(value, chr(9)) + 1) end as text,
+  case when contains(value, chr(9)) then split_part(value, chr(9), 1) end as rel_path from lines)"""
+INVENTORY = ALL_LINES + """,
+parsed as (select * from every_line where value <> '')"""
 
 
 def parsed_lines(spark: SparkSession, sf_dir: str, split=label_sources.label_parts) -> DataFrame:
@@ -391,8 +407,8 @@ def parsed_lines(spark: SparkSession, sf_dir: str, split=label_sources.label_par
 select split, count(*) as lines_in_file, count(text) as tab_parsed_rows, count(text) filter (has_image) as pairs_with_existing_image,
   count(text) filter (not has_image) as missing_image, (min(length(text)) filter (has_image))::int as char_len_min,
   (max(length(text)) filter (has_image))::int as char_len_max, {rounded('avg(length(text)) filter (has_image)', 4)} as char_len_mean
-from parsed group by split""",
-        INVENTORY,
+from every_line group by split""",
+        ALL_LINES,
     ),
 )
 def d20(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,19 +476,26 @@ def digest_tree(source: str) -> str:
     return ",\n".join(levels)
 
 
+def flat_digest(source: str) -> str:
+    """SQL of the flat digests as the table `flat`."""
+    return f"flat as (select split, case when count(*) <= {export.FLAT} then sha256(string_agg(part, chr(10) order by no)) end as part from {source} group by split)"
+
+
 @query(
     "b08_export_manifest",
     sql(
         """
 select p.split, count(text) filter (has_image) as exported, count(*) filter (text is null) as skipped_malformed,
-  count(text) filter (not has_image) as skipped_missing_image, any_value(t5.part) as ids_sha256
-from parsed p left join t5 on t5.split = p.split group by p.split""",
+  count(text) filter (not has_image) as skipped_missing_image, any_value(t5.part) as ids_tree_sha256, any_value(flat.part) as ids_sha256
+from parsed p left join t5 on t5.split = p.split left join flat on flat.split = p.split group by p.split""",
         INVENTORY
         + """,
 ids as (select split, line_no as no, regexp_replace(regexp_replace(rel_path, '.*/', ''), '[.]png$', '') as part
   from parsed where text is not null and has_image),
 """
-        + digest_tree("ids"),
+        + digest_tree("ids")
+        + ",\n"
+        + flat_digest("ids"),
     ),
 )
 def b08(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -491,15 +514,14 @@ def turn_ids(spark: SparkSession, sf_dir: str, no: str) -> DataFrame:
     )
 
 
-@query("d19_ordered_ids_hash", "with " + _TURNS.format(no="conv_id * 1000 + turn") + digest_tree("ids") + "\nselect split, part as ids_sha256 from t5")
+@query("d19_ordered_ids_hash", "with " + _TURNS.format(no="conv_id * 1000 + turn") + flat_digest("ids") + "\nselect split, part as ids_sha256 from flat")
 def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.ids_digest(turn_ids(spark, sf_dir, "conv_id * 1000 + turn"))
 
 
-@query("d19_chunked_ids_hash", "with " + _TURNS.format(no="conv_id * 1000000000 + turn") + digest_tree("ids") + "\nselect split, part as ids_chunked_sha256 from t5")
-def d19_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over numbers with wide gaps."""
-    return export.ids_digest(turn_ids(spark, sf_dir, "conv_id * 1000000000 + turn"), "ids_chunked_sha256")
+@query("d19_ids_tree_digest", "with " + _TURNS.format(no="conv_id * 1000000000 + turn") + digest_tree("ids") + "\nselect split, part as ids_tree_sha256 from t5")
+def d19_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.ids_tree_digest(turn_ids(spark, sf_dir, "conv_id * 1000000000 + turn"))
 
 
 @query(

@@ -20,6 +20,15 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 BY = ["model", "split"]
 
 
+def distinct(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
+    """Every distinct pair of a group with its number of rows as `weight`."""
+    return scoring.distinct_pairs(pairs(spark, sf_dir), by)
+
+
+def scored_distinct(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
+    return scoring.score_rows(distinct(spark, sf_dir, by))
+
+
 @query("i01_cer", sql("select model, line_no, cer from scored", SCORED))
 def i01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.with_char_errors(pairs(spark, sf_dir)).select("model", "line_no", "cer")
@@ -63,18 +72,19 @@ from scored group by model, split""",
     ),
 )
 def d12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = scoring.with_word_errors(scoring.with_char_errors(pairs(spark, sf_dir)))
-    return scoring.macro_rates(both, BY)
+    both = scoring.with_word_errors(scoring.with_char_errors(distinct(spark, sf_dir, BY)))
+    return scoring.macro_rates(both, BY, "weight")
 
 
 @query("d12_metrics_by_split", sql(f"select model, split, {_AGGREGATES} from scored group by model, split", SCORED))
 def d12_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.aggregate_scores(scored(spark, sf_dir), BY)
+    return scoring.aggregate_scores(scored_distinct(spark, sf_dir, BY), BY, "weight")
 
 
 @query("d12_metrics_by_lang", sql(f"select model, lang, {_AGGREGATES} from scored group by model, lang", SCORED))
 def d12_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.aggregate_scores(scored(spark, sf_dir), ["model", "lang"])
+    by = ["model", "lang"]
+    return scoring.aggregate_scores(scored_distinct(spark, sf_dir, by), by, "weight")
 
 
 @query(
@@ -87,14 +97,15 @@ from scored group by model, lang""",
     ),
 )
 def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = scoring.with_mark_errors(pairs(spark, sf_dir))
-    return marked.groupBy("model", "lang").agg(round_n(scoring.micro_der(), 6).alias("der"))
+    by = ["model", "lang"]
+    marked = scoring.with_mark_errors(distinct(spark, sf_dir, by))
+    return marked.groupBy(*by).agg(round_n(scoring.micro_der("weight"), 6).alias("der"))
 
 
 @query("d14_der_n", sql("select model, split, count(*) filter (gt_marks > 0) as der_n from scored group by model, split", SCORED))
 def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = scoring.with_mark_errors(pairs(spark, sf_dir))
-    return marked.groupBy(*BY).agg(F.count_if(F.col("gt_marks") > 0).alias("der_n"))
+    marked = scoring.with_mark_errors(distinct(spark, sf_dir, BY))
+    return marked.groupBy(*BY).agg(F.sum(F.when(F.col("gt_marks") > 0, F.col("weight")).otherwise(0)).alias("der_n"))
 
 
 @query(
@@ -108,8 +119,8 @@ from scored group by model, split""",
     ),
 )
 def d15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = scoring.with_mark_errors(pairs(spark, sf_dir))
-    return marked.groupBy(*BY).agg(round_n(scoring.der_insertion_rate(), 6).alias("der_insertion_rate"))
+    marked = scoring.with_mark_errors(distinct(spark, sf_dir, BY))
+    return marked.groupBy(*BY).agg(round_n(scoring.der_insertion_rate("weight"), 6).alias("der_insertion_rate"))
 
 
 @query(
@@ -123,12 +134,12 @@ from scored group by model""",
     ),
 )
 def d25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.perfect_counts(scored(spark, sf_dir), ["model"])
+    return scoring.limit_counts(distinct(spark, sf_dir, ["model"]), ["model"], weight="weight")
 
 
 @query("d26_median_error", sql("select model, median(cer) as cer_median, median(der) as der_median from scored group by model", SCORED))
 def d26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.median_errors(scored(spark, sf_dir), ["model"])
+    return scoring.median_errors(scored_distinct(spark, sf_dir, ["model"]), ["model"], "weight")
 
 
 _BY_MODEL = SCORED + f""",
@@ -138,7 +149,7 @@ _REPORTED = ("spurious", "noisy", "fold", "empty")
 
 
 def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.aggregate_scores(scored(spark, sf_dir), ["model"])
+    return scoring.aggregate_scores(scored_distinct(spark, sf_dir, ["model"]), ["model"], "weight")
 
 
 @query(
@@ -174,7 +185,7 @@ def d28(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d29_macro_der", sql(f"select model, split, {rounded('avg(der)', 4)} as der_macro from scored group by model, split", SCORED))
 def d29(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.macro_der(scoring.with_mark_errors(pairs(spark, sf_dir)), BY)
+    return scoring.macro_der(scoring.with_mark_errors(distinct(spark, sf_dir, BY)), BY, "weight")
 
 
 @query(

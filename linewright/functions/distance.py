@@ -9,7 +9,9 @@ word covers 64 cells) and gives the same numbers for any length. There is no len
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Hashable, Sequence
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -27,18 +29,91 @@ _ARROW_ERRORS = pa.struct([(name, pa.int32()) for name in ERRORS.names])
 
 
 def sequence_edits(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
-    """Edit distance of two token sequences, one column of the distance matrix per step, held in two integers."""
-    if a == b:
-        return 0
+    """Edit distance of two token sequences.
+
+    Common ends are cut off. What is left is first tried diagonal by diagonal, which costs the square of the distance
+    whatever the lengths; only pairs with too many edits for that pay one column of the matrix per token.
+    """
+    return edits_within(a, b, max(len(a), len(b)))
+
+
+def edits_within(a: Sequence[Hashable], b: Sequence[Hashable], most: int) -> int | None:
+    """Edit distance if it is at most `most`, else None, found as early as possible."""
+    head = _common_length(a, b, 0, 0)
+    a, b = a[head:], b[head:]
+    tail = _common_length(a[::-1], b[::-1], 0, 0)
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    most = min(most, max(len(a), len(b)))
     if not a or not b:
-        return len(a) + len(b)
+        return _limited(len(a) + len(b), most)
+    least = max(len(a), len(b)) - (Counter(a) & Counter(b)).total()
+    if least > most:
+        return None
+    # as many diagonals as cost no more than the columns would
+    few = min(most, isqrt(min(len(a), len(b)) * (64 + max(len(a), len(b)) // 64) // 128))
+    if least <= few:
+        found = _edits_by_diagonals(a, b, few)
+        if found is not None or few == most:
+            return found
+    return _edits_by_columns(a, b, most)
+
+
+def _limited(distance: int, most: int) -> int | None:
+    return distance if distance <= most else None
+
+
+def _common_length(a: Sequence[Hashable], b: Sequence[Hashable], i: int, j: int) -> int:
+    """Number of equal tokens from a[i] and b[j] on: stretches of doubling length are compared, then the last one is halved."""
+    start, step = i, 8
+    while True:
+        end = min(step, len(a) - i, len(b) - j)
+        if end <= 0:
+            return i - start
+        if a[i : i + end] != b[j : j + end]:
+            break
+        i, j, step = i + end, j + end, 2 * step
+    low, high = 0, end - 1
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[i : i + middle] == b[j : j + middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return i - start + low
+
+
+def _edits_by_diagonals(a: Sequence[Hashable], b: Sequence[Hashable], most: int) -> int | None:
+    """For 0, 1, 2, ... edits, how far down each diagonal of the matrix they reach, until the last corner is reached."""
+    n, m = len(a), len(b)
+    corner = m - n
+    reach = {0: _common_length(a, b, 0, 0)}
+    if corner == 0 and reach[0] == n:
+        return 0
+    unreached = -1
+    for edits in range(1, most + 1):
+        further = {}
+        for k in range(max(-edits, -n), min(edits, m) + 1):
+            i = max(reach.get(k, unreached - 1) + 1, reach.get(k - 1, unreached), reach.get(k + 1, unreached - 1) + 1)
+            i = min(i, n, m - k)
+            if i < 0 or i + k < 0:
+                continue
+            i += _common_length(a, b, i, i + k)
+            if k == corner and i == n:
+                return edits
+            further[k] = i
+        reach = further
+    return None
+
+
+def _edits_by_columns(a: Sequence[Hashable], b: Sequence[Hashable], most: int) -> int | None:
+    """One column of the distance matrix per step, held in two integers; ends where the rest cannot come down to `most`."""
     rows, steps = (a, b) if len(a) >= len(b) else (b, a)
     where: dict[Hashable, int] = {}
     for i, token in enumerate(rows):
         where[token] = where.get(token, 0) | (1 << i)
     full = (1 << len(rows)) - 1
     bottom = 1 << (len(rows) - 1)
-    up, down, distance = full, 0, len(rows)
+    up, down, distance, left_over = full, 0, len(rows), len(steps)
     for token in steps:
         hit = where.get(token, 0)
         diagonal = (((hit & up) + up) ^ up) | hit | down
@@ -48,11 +123,14 @@ def sequence_edits(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
             distance += 1
         elif left & bottom:
             distance -= 1
+        left_over -= 1
+        if distance - left_over > most:
+            return None
         right = ((right << 1) | 1) & full
         left = (left << 1) & full
         up = left | (full & ~(diagonal | right))
         down = right & diagonal
-    return distance
+    return _limited(distance, most)
 
 
 def _count_errors(pred: pa.Array, gt: pa.Array, tokens: Callable[[str], Sequence[Hashable]]) -> pa.Array:
@@ -135,6 +213,45 @@ def mark_errors(pred: Column, gt: Column) -> Column:
     return _with_hard(mark_errors_arrow, hard, pred, gt, easy)
 
 
+def most_edits(length: Column, threshold: float) -> Column:
+    """Largest number of edits whose rate over `length` reference tokens is below the threshold, compared as doubles."""
+    near = F.floor(length * threshold).cast("int")
+    return F.when((near + 1) / length < threshold, near + 1).when(near / length < threshold, near).otherwise(near - 1)
+
+
+_LIMITS = T.StructType([T.StructField("perfect", T.BooleanType()), T.StructField("below", T.BooleanType())])
+
+
+@F.arrow_udf(_LIMITS)
+def char_limits_arrow(pred: pa.Array, gt: pa.Array, threshold: pa.Array) -> pa.Array:
+    rows = []
+    for p, g, t in zip(pred.to_pylist(), gt.to_pylist(), threshold.to_pylist()):
+        if p is None or g is None:
+            rows.append(None)
+            continue
+        p, g = unicodedata.normalize("NFC", p), unicodedata.normalize("NFC", g)
+        most = int(len(g) * t)
+        while most >= 0 and not most / max(len(g), 1) < t:
+            most -= 1
+        while g and (most + 1) / len(g) < t:
+            most += 1
+        rows.append({"perfect": p == g, "below": most >= 0 and edits_within(p, g, most) is not None if g else float(p != g) < t})
+    return pa.array(rows, pa.struct([("perfect", pa.bool_()), ("below", pa.bool_())]))
+
+
+def char_limits(pred: Column, gt: Column, threshold: float) -> Column:
+    """Whether the character error rate is 0 (`perfect`), and whether it is `below` a threshold, without the rate itself.
+
+    Distances are followed only as far as the threshold lets them go.
+    """
+    hard = (pred != gt) & (_is_long(pred, gt) | is_irregular(pred) | is_irregular(gt))
+    most = most_edits(F.length(gt), threshold)
+    near = F.when(most < 0, False).otherwise(F.call_function("levenshtein", pred, gt, most) >= 0)
+    below = F.when(pred == gt, F.lit(0.0 < threshold)).when(gt == "", F.lit(1.0 < threshold)).otherwise(near)
+    easy = F.struct((pred == gt).alias("perfect"), below.alias("below"))
+    return F.coalesce(char_limits_arrow(F.when(hard, pred), F.when(hard, gt), F.lit(threshold)), easy)
+
+
 def rate(errors: Column) -> Column:
     """Edits per reference token; with no reference 0 where nothing was produced either, else 1."""
     return F.when(errors["reference"] == 0, F.when(errors["produced"] == 0, 0.0).otherwise(1.0)).otherwise(

@@ -21,9 +21,9 @@ from linewright.functions.unicode import combining_marks
 def char_counts(labels: DataFrame, by: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """Characters per group with counts; with `order` also `first_seen`, the place of the first occurrence.
 
-    The last column of `order` is a number. Each row is reduced to its distinct characters, these are counted with the
-    lowest such number per block of rows (the other columns of `order`) in a hash table, and only blocks are compared
-    as a whole; the position inside the row is looked up for the first row of each character alone.
+    The last column of `order` is a number. Each row is reduced to its distinct characters with their first positions.
+    Number and position travel as one fixed-width decimal, so a hash table keeps the lowest one per block of rows (the other
+    columns of `order`) and character; only blocks are compared as a whole, and no text is looked at twice.
     """
     by, order = by or [], order or []
     if not order:
@@ -32,22 +32,17 @@ def char_counts(labels: DataFrame, by: list[str] | None = None, order: list[str]
     rows = [*dict.fromkeys([*by, *order])]
     distinct = labels.select(*rows, "text", F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''")
     held = (F.length("text") - F.length(F.replace("text", F.col("ch"), F.lit("")))).cast("long")
+    positions = F.lit(1 << 31).cast("decimal(10,0)")
+    place = F.col(order[-1]).cast("long").cast("decimal(19,0)") * positions + (F.position(F.col("ch"), F.col("text")) - 1)
     block = [*dict.fromkeys([*by, *order[:-1], "ch"])]
-    blocks = distinct.select(*block, F.col(order[-1]).cast("long").alias("_last"), held.alias("_held")).groupBy(*block).agg(
-        F.sum("_held").alias("n"), F.min("_last").alias("_last")
-    )
-    first = blocks.groupBy(*by, "ch").agg(F.sum("n").alias("n"), F.min(F.struct(*order[:-1], F.col("_last").alias(order[-1]))).alias("at"))
-    place = [F.col(f"at.{c}").alias(f"_at{i}") for i, c in enumerate(order)]
-    same = [F.col(f"_at{i}").eqNullSafe(F.col(f"row.{c}")) for i, c in enumerate(order)]
-    found = labels.select(F.struct(*rows).alias("row"), F.col("text").alias("_text"))
-    same += [F.col(f"_by{i}").eqNullSafe(F.col(f"row.{c}")) for i, c in enumerate(by)]
-    at_row = first.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "ch", "n", *place).join(found, same)
-    return (
-        at_row.where(F.position(F.col("ch"), F.col("_text")) > 0)
-        .groupBy(*(F.col(f"_by{i}").alias(c) for i, c in enumerate(by)), "ch", "n", *(f"_at{i}" for i in range(len(order))))
-        .agg(F.min(F.position(F.col("ch"), F.col("_text")) - 1).alias("pos"))
-        .select(*by, "ch", "n", F.struct(*(F.col(f"_at{i}").alias(c) for i, c in enumerate(order)), "pos").alias("first_seen"))
+    blocks = distinct.select(*block, place.alias("_place"), held.alias("_held")).groupBy(*block).agg(
+        F.sum("_held").alias("n"), F.min("_place").alias("_place")
     )
+    first = blocks.groupBy(*by, "ch").agg(F.sum("n").alias("n"), F.min(F.struct(*order[:-1], "_place")).alias("at"))
+    position = F.pmod(F.col("at._place"), positions)
+    number = F.call_function("div", F.col("at._place") - position, positions)
+    seen = F.struct(*(F.col(f"at.{c}").alias(c) for c in order[:-1]), number.alias(order[-1]), position.cast("int").alias("pos"))
+    return first.select(*by, "ch", "n", seen.alias("first_seen"))
 
 
 def top_chars(counts: DataFrame, n: int) -> DataFrame:

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from linewright.functions.text import round_n
 
 
-def value_counts(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
-    counted = rows.select(*by, value.alias("value")).where("value is not null")
-    return counted.groupBy(*by, "value").agg(F.count("*").alias("n"))
+def value_counts(rows: DataFrame, by: list[str], value: Column, weight: str | None = None) -> DataFrame:
+    """Rows per distinct value; with `weight`, a column of how many rows a row stands for."""
+    times = F.lit(1).cast("long") if weight is None else F.col(weight)
+    counted = rows.select(*by, value.alias("value"), times.alias("n")).where("value is not null")
+    return counted.groupBy(*by, "value").agg(F.sum("n").alias("n"))
 
 
 def with_ranks(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -72,7 +74,7 @@ def length_histogram(rows: DataFrame, by: list[str], value: Column, bins: int =
     return spread.groupBy(*by, F.coalesce(place, F.lit(1)).alias("bin")).agg(F.sum("n").alias("n"))
 
 
-def exact_median(rows: DataFrame, by: list[str], value: Column, grain: float = 1000.0) -> DataFrame:
+def exact_median(rows: DataFrame, by: list[str], value: Column, grain: float = 1000.0, weight: str | None = None) -> DataFrame:
     """True median of a fractional value.
 
     Distinct fractions can be as many as rows, so the middle is found in two steps: a running sum over coarse steps of
@@ -80,7 +82,7 @@ def exact_median(rows: DataFrame, by: list[str], value: Column, grain: float = 1
     """
     # The filter is what the join below implies for its left side; stated here, both sides share one exchange.
     step = F.floor(F.col("value") * grain)
-    counts = value_counts(rows, by, value).where(step.isNotNull()).withColumn("step", step)
+    counts = value_counts(rows, by, value, weight).where(step.isNotNull()).withColumn("step", step)
     steps = with_ranks(
         counts.groupBy(*by, "step").agg(F.sum("n").alias("n")).withColumnRenamed("step", "value"), by
     ).withColumn("before", F.col("upto") - F.col("n"))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.functions.distance import char_errors, mark_errors, rate, word_errors
+from linewright.functions.distance import char_errors, char_limits, mark_errors, rate, word_errors
 from linewright.functions.text import round_n
+from linewright.functions.unicode import combining_marks
 from linewright.operators.lengths import exact_median
 
 
@@ -46,45 +47,73 @@ def _with_rates(pairs: DataFrame, wanted: dict[str, Callable[[Column, Column], C
     return counted.withColumns(rates).drop(*[f"_{m}" for m in wanted])
 
 
-def micro_der() -> Column:
+def distinct_pairs(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Each (`pred`, `gt`) of a group once, with `weight`, the rows that have it.
+
+    Scoring costs the product of two lengths, counting costs their sum: blank lines, headers and boilerplate, which may be
+    a third of all rows, are combined before the shuffle and scored once. Give `weight` to the aggregates.
+    """
+    pairs = pairs.select(*by, F.coalesce("pred", F.lit("")).alias("pred"), "gt")
+    return pairs.groupBy(*by, "pred", "gt").agg(F.count("*").alias("weight"))
+
+
+def _rows(weight: str | None, condition: Column | None = None) -> Column:
+    """Rows, of those where a condition holds."""
+    if weight is None:
+        return F.count("*") if condition is None else F.count_if(condition)
+    counted = F.col(weight) if condition is None else F.when(condition, F.col(weight))
+    return F.coalesce(F.sum(counted), F.lit(0).cast("long"))
+
+
+def _times(value: Column, weight: str | None) -> Column:
+    return value if weight is None else value * F.col(weight)
+
+
+def _mean(name: str, weight: str | None) -> Column:
+    if weight is None:
+        return F.avg(name)
+    return F.sum(F.col(name) * F.col(weight)) / F.sum(F.when(F.col(name).isNotNull(), F.col(weight)))
+
+
+def micro_der(weight: str | None = None) -> Column:
     """Mark edits over reference marks, over rows that have reference marks; NULL without any."""
     has = F.col("gt_marks") > 0
-    return F.sum(F.when(has, F.col("mark_edits"))) / F.nullif(F.sum(F.when(has, F.col("gt_marks"))), F.lit(0))
+    edits, marks = (F.sum(F.when(has, _times(F.col(c), weight))) for c in ("mark_edits", "gt_marks"))
+    return edits / F.nullif(marks, F.lit(0))
 
 
-def der_insertion_rate() -> Column:
+def der_insertion_rate(weight: str | None = None) -> Column:
     """Marks produced per reference character, over rows without reference marks."""
     none = F.col("gt_marks") == 0
-    chars = F.sum(F.when(none, F.length("gt")))
-    return F.coalesce(F.sum(F.when(none, F.col("pred_marks"))), F.lit(0)) / F.nullif(chars, F.lit(0))
+    chars = F.sum(F.when(none, _times(F.length("gt"), weight)))
+    return F.coalesce(F.sum(F.when(none, _times(F.col("pred_marks"), weight))), F.lit(0)) / F.nullif(chars, F.lit(0))
 
 
-def macro_rates(scored: DataFrame, by: list[str]) -> DataFrame:
+def macro_rates(scored: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """Rows and mean character and word error rates; every row weighs the same."""
-    return scored.groupBy(*by).agg(
-        F.count("*").alias("n"), round_n(F.avg("cer"), 4).alias("cer"), round_n(F.avg("wer"), 4).alias("wer")
-    )
+    means = [round_n(_mean(m, weight), 4).alias(m) for m in ("cer", "wer")]
+    return scored.groupBy(*by).agg(_rows(weight).alias("n"), *means)
 
 
-def aggregate_scores(scored: DataFrame, by: list[str]) -> DataFrame:
+def aggregate_scores(scored: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """One metrics row per group, in one pass; without groups also for no rows at all."""
-    return scored.groupBy(*by).agg(*metric_columns())
+    return scored.groupBy(*by).agg(*metric_columns(weight))
 
 
-def metric_columns() -> list[Column]:
+def metric_columns(weight: str | None = None) -> list[Column]:
     return [
-        F.count("*").alias("n"),
-        round_n(F.avg("cer"), 4).alias("cer"),
-        round_n(F.avg("wer"), 4).alias("wer"),
-        round_n(micro_der(), 4).alias("der"),
-        F.count_if(F.col("gt_marks") > 0).alias("der_n"),
-        round_n(der_insertion_rate(), 4).alias("der_insertion_rate"),
+        _rows(weight).alias("n"),
+        round_n(_mean("cer", weight), 4).alias("cer"),
+        round_n(_mean("wer", weight), 4).alias("wer"),
+        round_n(micro_der(weight), 4).alias("der"),
+        _rows(weight, F.col("gt_marks") > 0).alias("der_n"),
+        round_n(der_insertion_rate(weight), 4).alias("der_insertion_rate"),
     ]
 
 
-def macro_der(scored: DataFrame, by: list[str]) -> DataFrame:
+def macro_der(scored: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """Mean of the per-row rates. Not the corpus rate `der`, hence its own name."""
-    return scored.groupBy(*by).agg(round_n(F.avg("der"), 4).alias("der_macro"))
+    return scored.groupBy(*by).agg(round_n(_mean("der", weight), 4).alias("der_macro"))
 
 
 def perfect_counts(scored: DataFrame, by: list[str], threshold: float = 0.1) -> DataFrame:
@@ -96,10 +125,28 @@ def perfect_counts(scored: DataFrame, by: list[str], threshold: float = 0.1) ->
     )
 
 
-def median_errors(scored: DataFrame, by: list[str]) -> DataFrame:
+def limit_counts(pairs: DataFrame, by: list[str], threshold: float = 0.1, weight: str | None = None) -> DataFrame:
+    """The counts of `perfect_counts` from pairs that have not been scored: no distance is followed beyond its limit.
+
+    No mark error means equal marks, which needs no distance at all.
+    """
+    pairs = pairs.withColumn("pred", F.coalesce("pred", F.lit("")))
+    limits = char_limits(F.col("pred"), F.col("gt"), threshold)
+    same_marks = combining_marks(F.col("pred")) == combining_marks(F.col("gt"))
+    kept = by if weight is None else [*by, weight]
+    judged = pairs.select(*kept, limits.alias("_limits"), same_marks.alias("_same_marks"))
+    return judged.groupBy(*by).agg(
+        _rows(weight, F.col("_limits.perfect")).alias("cer_perfect"),
+        _rows(weight, F.col("_limits.below")).alias("cer_below"),
+        _rows(weight, F.col("_same_marks")).alias("der_perfect"),
+    )
+
+
+def median_errors(scored: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """Median character and mark error rates. Both are ranked in one pass over the rows."""
     each = F.explode(F.create_map(F.lit("cer"), F.col("cer"), F.lit("der"), F.col("der"))).alias("metric", "rate")
-    medians = exact_median(scored.select(*by, each), [*by, "metric"], F.col("rate"))
+    kept = by if weight is None else [*by, weight]
+    medians = exact_median(scored.select(*kept, each), [*by, "metric"], F.col("rate"), weight=weight)
     return medians.groupBy(*by).agg(
         F.max(F.when(F.col("metric") == "cer", F.col("median"))).alias("cer_median"),
         F.max(F.when(F.col("metric") == "der", F.col("median"))).alias("der_median"),
