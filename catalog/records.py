@@ -364,7 +364,7 @@ def a04(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
 
     def little(c, n: int):
-        return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(c.cast("long"), 8 * k) % 256), 2, "0") for k in range(n))))
+        return F.unhex(F.concat(*(F.lpad(F.hex(F.pmod(F.shiftright(c.cast("long"), 8 * k), F.lit(256))), 2, "0") for k in range(n))))
 
     def plain(digits: str):
         return F.unhex(F.lit(digits))
