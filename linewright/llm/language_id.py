@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linewright.functions.workers import kept_per_worker
 from linewright.llm import words
 from linewright.llm.registry import query
 from linewright.llm.shared import fold_of, staged
@@ -182,25 +183,17 @@ def trained(docs: DataFrame, folds: int, held_out: int, sample: int = SAMPLE, mi
     return Model.of(langs, terms, numbers)
 
 
-#: The model of this Python worker, by the name of its broadcast.
-_OWN: dict[str, Model] = {}
-
-
-def own_model(name: str, sent) -> Model:
-    if name not in _OWN:
-        _OWN.clear()
-        langs, terms, logs = sent.value
-        _OWN[name] = Model(langs, [{t: k for k, t in enumerate(of)} for of in terms], logs)
-    return _OWN[name]
-
-
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, lang_pred, score."""
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, [list(p) for p in model.places], model.logs))
     name = uuid.uuid4().hex
 
+    def received() -> Model:
+        langs, terms, logs = sent.value
+        return Model(langs, [{t: k for k, t in enumerate(of)} for of in terms], logs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = own_model(name, sent)
+        model = kept_per_worker("language", name, received)
         for batch in words.slices(batches, "text"):
             lang, score = model.predicted(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
