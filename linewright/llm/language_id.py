@@ -22,8 +22,7 @@ from __future__ import annotations
 import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,8 @@ from linewright.llm.shared import fold_of, staged
 SAMPLE = 2_000
 MIN_ROWS = 2
 LONGEST = 5
+#: Parts that the ids of a language are dealt into before they are ranked.
+DEALS = 64
 #: Added to every count.
 SMOOTH = 0.5
 #: Distinct parts of texts whose sums a task keeps.
@@ -49,13 +50,18 @@ UNKNOWN = "und"
 COUNTS = "lang string, kind int, term string, n long, in_rows long"
 
 
+#: Signs that words often stand between.
+EDGES = ".,;:!?\"'()[]{}<>|#$%&*-_+=/\\0123456789"
+
+
 def words_of(part: str) -> list[str]:
     """Words of a white-space separated part, composed and in lower case."""
     import regex
 
-    if part.isalpha() and part.isascii():
-        return [part.lower()]
-    return regex.findall(r"\p{L}+", unicodedata.normalize("NFC", part.lower()))
+    word = part.strip(EDGES).lower()
+    if not word.isascii():
+        word = unicodedata.normalize("NFC", word)
+    return [word] if word.isalpha() else regex.findall(r"\p{L}+", word)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -92,49 +98,64 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "kind", "term", "n", "in_rows"])
 
 
-@dataclass
 class Model:
-    """Log frequencies per language of words (kind 0) and of n-grams (kind n)."""
+    """Log frequencies per language of words (kind 0) and of n-grams (kind n); the rows of all kinds lie in one table."""
 
-    langs: list[str]
-    places: list[dict[str, int]]
-    logs: list[np.ndarray]
-    known: dict[str, np.ndarray | None] = field(default_factory=dict)
+    def __init__(self, langs: list[str], terms: list[list[str]], logs: np.ndarray) -> None:
+        self.langs, self.terms, self.logs = langs, terms, logs
+        starts = np.cumsum([0, *map(len, terms)]).tolist()
+        self.places = [{t: start + k for k, t in enumerate(of)} for of, start in zip(terms, starts, strict=False)]
+        self.known: dict[str, int] = {}
+        self.sums = np.zeros((0, len(langs)))
+        self.lettered = np.zeros(0, bool)
 
     @classmethod
     def of(cls, langs: list[str], terms: list[list[str]], counts: list[np.ndarray]) -> Model:
         """terms and counts (a row per term, a column per language) of each kind."""
-        logs = []
-        for n in counts:
-            total = n.sum(axis=0) + SMOOTH * max(len(n), 1)
-            logs.append(np.log((n + SMOOTH) / total))
-        return cls(langs, [{t: k for k, t in enumerate(of)} for of in terms], logs)
+        logs = [np.log((n + SMOOTH) / (n.sum(axis=0) + SMOOTH * max(len(n), 1))) for n in counts]
+        return cls(langs, terms, np.concatenate(logs))
 
-    def word(self, word: str) -> np.ndarray:
+    def found(self, word: str) -> list[int]:
+        """Places of the word, else of its longest n-grams that are known at all; their logs are averaged."""
         place = self.places[0].get(word)
         if place is not None:
-            return self.logs[0][place]
+            return [place]
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             at = [p for p in map(self.places[n].get, grams(word, n)) if p is not None]
             if at:
-                return self.logs[n][at].mean(axis=0)
-        return np.zeros(len(self.langs))
-
-    def part(self, part: str) -> np.ndarray | None:
-        """Sums over the words of a part; None without letters."""
-        found = words_of(part)
-        return sum(map(self.word, found), np.zeros(len(self.langs))) if found else None
-
-    def parts(self, distinct: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+                return at
+        return []
+
+    def learn(self, parts: list[str]) -> None:
+        """Sums over the words of parts, all parts at once."""
+        places, sizes, many = [], [], []
+        for part in parts:
+            found = words_of(part)
+            many.append(len(found))
+            for word in found:
+                at = self.found(word)
+                places += at
+                sizes.append(len(at))
+        sizes, many = np.array(sizes, np.int64), np.array(many, np.int64)
+        of_word = np.repeat(np.arange(len(sizes)), sizes)
+        of_part = np.repeat(np.arange(len(many)), many)[of_word]
+        logs = self.logs[np.array(places, np.int64)]
+        sums = np.stack([np.bincount(of_part, logs[:, k] / sizes[of_word], len(many)) for k in range(len(self.langs))], axis=1)
+        for k, part in enumerate(parts, len(self.sums)):
+            self.known[part] = k
+        self.sums = np.concatenate([self.sums, sums])
+        self.lettered = np.concatenate([self.lettered, many > 0])
+
+    def parts(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over the words of parts, and whether they have any."""
         if len(self.known) > CACHED:
             self.known.clear()
-        sums = []
-        for p in distinct:
-            if p not in self.known:
-                self.known[p] = self.part(p)
-            sums.append(self.known[p])
-        nothing = np.zeros(len(self.langs))
-        return np.array([nothing if s is None else s for s in sums]).reshape(-1, len(self.langs)), np.array([s is not None for s in sums], bool)
+            self.sums, self.lettered = self.sums[:0], self.lettered[:0]
+        new = [p for p in distinct if p not in self.known]
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        return self.sums[at], self.lettered[at]
 
     def predicted(self, text: pa.Array) -> tuple[list[str], np.ndarray]:
         counts, flat = words.split(text, lower=False)
@@ -153,8 +174,12 @@ class Model:
 def sampled(docs: DataFrame, folds: int, held_out: int, sample: int) -> DataFrame:
     """lang, text of the training rows: of each language the `sample` ids with the lowest hash. Only ids are ranked."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("lang", "doc_id").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= sample)
+    hashed = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    # in two steps, so that no task ranks all ids of a language: first within each of `DEALS` parts, then what these keep
+    for deal in ([F.pmod("h", F.lit(DEALS))], []):
+        ranked = hashed.withColumn("place", F.row_number().over(Window.partitionBy("lang", *deal).orderBy("h", "doc_id")))
+        hashed = ranked.where(F.col("place") <= sample).drop("place")
+    chosen = hashed
     chosen = staged(chosen.select("lang", "doc_id").distinct(), "language-sample")
     return usable.join(chosen.withColumnsRenamed({"lang": "its_lang", "doc_id": "its_id"}), F.col("lang").eqNullSafe(F.col("its_lang")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left_semi").select("lang", "text")
 
@@ -185,12 +210,11 @@ def trained(docs: DataFrame, folds: int, held_out: int, sample: int = SAMPLE, mi
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, lang_pred, score."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, [list(p) for p in model.places], model.logs))
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.terms, model.logs))
     name = uuid.uuid4().hex
 
     def received() -> Model:
-        langs, terms, logs = sent.value
-        return Model(langs, [{t: k for k, t in enumerate(of)} for of in terms], logs)
+        return Model(*sent.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept_per_worker("language", name, received)
