@@ -64,5 +64,5 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
-    assert {"op1_url_filters", "op2_quality_rules"} <= set(entry.oracle_sql())
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
+    assert {"op1_url_filters", "op2_quality_rules", "op11_source_divergence"} <= set(entry.oracle_sql())
