@@ -28,7 +28,7 @@ stand in no pair are read but not taken apart again, and nothing but the sets of
 
 Defined results: documents without words (null, empty, white space) have an empty set and link with nothing; a null id
 cannot name a component: its row is kept, in no component; rows repeated with one id get one result each and link by that
-id; ties in size or similarity have no effect, as the component is its smallest id; an empty table gives an empty result;
+id, also where their texts differ (each text is then compared by a number of its own); ties in size or similarity have no effect, as the component is its smallest id; an empty table gives an empty result;
 columns besides doc_id and text are left out of the result, whatever their names, and kept by `distinct_documents`. A very
 long text is one row of a task and is taken apart whole.
 """
@@ -248,9 +248,45 @@ def linked_reps(docs: DataFrame, members: DataFrame, n: int, percent: int) -> Da
             labels, changed = with_links(labels, linked_pairs(pairs, sets, percent))
 
 
+def with_one_text_each(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> DataFrame:
+    """The result of `near_duplicates` where an id stands on unequal texts.
+
+    Every (id, set) gets a number of its own and the numbers are compared like ids; then the numbers of one id are linked as
+    well, and each component is named by its smallest id. Only here are texts shuffled, to give them their numbers.
+    """
+    pairs = signed.where("doc_id IS NOT NULL").select("doc_id", "digest", "n_shingles").distinct()
+    numbered = staged(pairs.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(with_digest(n), "doc_id long, text string, digest binary")
+    texts = staged(texts.join(numbered, ["doc_id", "digest"]).select(F.col("number").alias("doc_id"), "text"), "numbered-texts")
+    found = staged(near_duplicates(texts, n, percent).distinct(), "numbered-components")
+    of_texts = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    own = numbered.where("n_shingles > 0").withColumn("first", F.min("number").over(Window.partitionBy("doc_id")))
+    labels = components(of_texts.unionByName(own.where("number <> first").select(F.col("number").alias("a"), F.col("first").alias("b"))))
+    placed = numbered.join(labels.withColumnRenamed("node", "number"), "number", "left")
+    placed = staged(placed.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "number"))), "numbered-labels")
+    named = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    result = placed.join(named, "component", "left").select("doc_id", "digest", "component_id")
+    joined = signed.join(result, ["doc_id", "digest"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def with_digest(n: int):
+    """mapInArrow function: doc_id, text -> the same with the digest of the set, as in SIGNATURES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words.slices(batches, "text"):
+            (signed,) = set_rows(n, HALVES, ROWS)(iter([batch]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed.column(2)], names=["doc_id", "text", "digest"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, component_id, kept: one row per document."""
     signed = staged(signatures(docs, n), "signatures")
+    several = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("low"), F.max(F.xxhash64("digest")).alias("high")).where("low <> high")
+    if not several.isEmpty():
+        return with_one_text_each(docs, signed, n, percent)
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves")), "classes")
     found = linked_reps(docs, staged(buckets(classes), "buckets"), n, percent)

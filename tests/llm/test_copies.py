@@ -73,6 +73,28 @@ def test_one_document_of_each_component_stays(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0 and near_dedup.distinct_documents(docs.limit(0)).count() == 0
 
 
+def test_ids_on_unequal_texts(spark):
+    """One id on two texts links what is near either; twice as many rows, empty ones, and ids that meet in a chain."""
+    rng = random.Random(12)
+    base = [cases.prose(rng, 60, 4000) for _ in range(8)]
+
+    def near(k, j):
+        words = base[k].split()
+        words[j] = f"x{j}"
+        return " ".join(words)
+
+    rows = [(1, base[0]), (1, base[1]), (2, near(0, 5)), (3, near(1, 7)), (4, base[2]), (5, base[2]), (5, base[3]), (6, near(3, 9)), (7, base[4]), (8, base[5])]
+    rows += [(9, base[6]), (9, ""), (9, None), (10, near(6, 3)), (10, near(6, 3)), (11, base[7]), (0, near(7, 2)), (None, base[0]), (12, ""), (11, near(5, 4))]
+    rows = [(i, t, "s", "en") for i, t in rows]
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 0, 10: 9, 11: 0, 0: 0, 12: 12, None: None, 9: 9}
+    got = near_dedup.near_duplicates(cases.frame(spark, rows, extra=True), 3, 85).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.component_id, r.kept) == (want[r.doc_id], want[r.doc_id] == r.doc_id), r
+    left = near_dedup.distinct_documents(cases.frame(spark, rows), 3, 85).collect()
+    assert {r.doc_id for r in left} == {i for i, c in want.items() if c == i}
+
+
 def test_buckets_are_looked_at_until_all_components_are_settled(spark):
     """Members of one bucket that are not linked with the first hubs are still compared with each other."""
     rng = random.Random(9)
