@@ -172,19 +172,24 @@ def _is_long(pred: Column, gt: Column) -> Column:
     return F.greatest(F.length(pred), F.length(gt)) > LONG
 
 
+def is_hard(pred: Column, gt: Column) -> Column:
+    """Whether a pair is left to Python: long, or not composed yet. Compute it once where several distances are needed."""
+    return _is_long(pred, gt) | is_irregular(pred) | is_irregular(gt)
+
+
 def _with_hard(udf: Callable[[Column, Column], Column], hard: Column, pred: Column, gt: Column, easy: Column) -> Column:
     return F.coalesce(udf(F.when(hard, pred), F.when(hard, gt)), easy)
 
 
-def char_errors(pred: Column, gt: Column) -> Column:
-    hard = (pred != gt) & (_is_long(pred, gt) | is_irregular(pred) | is_irregular(gt))
+def char_errors(pred: Column, gt: Column, hard: Column | None = None) -> Column:
+    hard = (pred != gt) & (is_hard(pred, gt) if hard is None else hard)
     edits = F.when(pred == gt, F.lit(0)).otherwise(F.levenshtein(pred, gt))
     return _with_hard(char_errors_arrow, hard, pred, gt, _errors(edits, F.length(gt), F.length(pred)))
 
 
-def word_errors(pred: Column, gt: Column) -> Column:
+def word_errors(pred: Column, gt: Column, hard: Column | None = None) -> Column:
     """Each word of an easy pair becomes one character, its position among the pair's distinct words."""
-    hard = (pred != gt) & (_is_long(pred, gt) | is_irregular(pred) | is_irregular(gt))
+    hard = (pred != gt) & (is_hard(pred, gt) if hard is None else hard)
 
     def compare(side: Column, vocabulary: Column) -> Column:
         def coded(tokens: Column) -> Column:
@@ -201,9 +206,9 @@ def word_errors(pred: Column, gt: Column) -> Column:
     return _with_hard(word_errors_arrow, hard, pred, gt, F.when(pred == gt, same).otherwise(different))
 
 
-def mark_errors(pred: Column, gt: Column) -> Column:
+def mark_errors(pred: Column, gt: Column, hard: Column | None = None) -> Column:
     """Over the combining marks of the decomposed texts."""
-    hard = _is_long(pred, gt) | is_irregular(pred) | is_irregular(gt)
+    hard = is_hard(pred, gt) if hard is None else hard
 
     def compare(side: Column) -> Column:
         edits = F.when(side["p"] == side["g"], F.lit(0)).otherwise(F.levenshtein(side["p"], side["g"]))
@@ -244,7 +249,7 @@ def char_limits(pred: Column, gt: Column, threshold: float) -> Column:
 
     Distances are followed only as far as the threshold lets them go.
     """
-    hard = (pred != gt) & (_is_long(pred, gt) | is_irregular(pred) | is_irregular(gt))
+    hard = (pred != gt) & is_hard(pred, gt)
     most = most_edits(F.length(gt), threshold)
     near = F.when(most < 0, False).otherwise(F.call_function("levenshtein", pred, gt, most) >= 0)
     below = F.when(pred == gt, F.lit(0.0 < threshold)).when(gt == "", F.lit(1.0 < threshold)).otherwise(near)

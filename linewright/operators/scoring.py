@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.functions.distance import char_errors, char_limits, mark_errors, rate, word_errors
+from linewright.functions.distance import char_errors, char_limits, is_hard, mark_errors, rate, word_errors
 from linewright.functions.text import round_n
 from linewright.functions.unicode import combining_marks
 from linewright.operators.lengths import exact_median
@@ -33,10 +33,11 @@ def score_rows(pairs: DataFrame) -> DataFrame:
     return _with_rates(pairs, {"cer": char_errors, "wer": word_errors, "der": mark_errors})
 
 
-def _with_rates(pairs: DataFrame, wanted: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+def _with_rates(pairs: DataFrame, wanted: dict[str, Callable[[Column, Column, Column], Column]]) -> DataFrame:
     # a lost prediction is an empty one, and counts
     pairs = pairs.withColumn("pred", F.coalesce("pred", F.lit("")))
-    counted = pairs.withColumns({f"_{m}": errors(F.col("pred"), F.col("gt")) for m, errors in wanted.items()})
+    pairs = pairs.withColumn("_hard", is_hard(F.col("pred"), F.col("gt")))
+    counted = pairs.withColumns({f"_{m}": errors(F.col("pred"), F.col("gt"), F.col("_hard")) for m, errors in wanted.items()})
     rates = {m: rate(F.col(f"_{m}")) for m in wanted}
     if "der" in wanted:
         rates |= {
@@ -44,7 +45,7 @@ def _with_rates(pairs: DataFrame, wanted: dict[str, Callable[[Column, Column], C
             "gt_marks": F.col("_der.reference"),
             "pred_marks": F.col("_der.produced"),
         }
-    return counted.withColumns(rates).drop(*[f"_{m}" for m in wanted])
+    return counted.withColumns(rates).drop("_hard", *[f"_{m}" for m in wanted])
 
 
 def distinct_pairs(pairs: DataFrame, by: list[str]) -> DataFrame:

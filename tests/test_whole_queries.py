@@ -1,4 +1,4 @@
-"""Queries whose SQL leaves out a part of the input, against brute force over all of it."""
+"""Queries over every letter and every line, against brute force."""
 
 import hashlib
 import unicodedata
