@@ -33,11 +33,13 @@ def score_rows(pairs: DataFrame) -> DataFrame:
     return _with_rates(pairs, {"cer": char_errors, "wer": word_errors, "der": mark_errors})
 
 
-def _with_rates(pairs: DataFrame, wanted: dict[str, Callable[[Column, Column, Column], Column]]) -> DataFrame:
+def _with_rates(pairs: DataFrame, wanted: dict[str, Callable[..., Column]]) -> DataFrame:
     # a lost prediction is an empty one, and counts
     pairs = pairs.withColumn("pred", F.coalesce("pred", F.lit("")))
-    pairs = pairs.withColumn("_hard", is_hard(F.col("pred"), F.col("gt")))
-    counted = pairs.withColumns({f"_{m}": errors(F.col("pred"), F.col("gt"), F.col("_hard")) for m, errors in wanted.items()})
+    pred, gt = F.col("pred"), F.col("gt")
+    # a column of its own, so that it is computed once
+    pairs = pairs.withColumn("_hard", is_hard(pred, gt)) if "der" in wanted else pairs
+    counted = pairs.withColumns({f"_{m}": errors(pred, gt, F.col("_hard")) if m == "der" else errors(pred, gt) for m, errors in wanted.items()})
     rates = {m: rate(F.col(f"_{m}")) for m in wanted}
     if "der" in wanted:
         rates |= {

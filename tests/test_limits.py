@@ -6,7 +6,7 @@ import time
 from datetime import datetime
 
 import pytest
-from linewright.functions import distance, text
+from linewright.functions import distance, pair_edits, text
 from linewright.operators import charset, predict, scoring
 from linewright.sources import images
 from pyspark.resource import ResourceProfileBuilder
@@ -48,6 +48,30 @@ def test_distances_of_random_pairs(alphabet):
             assert distance.edits_within(a, b, most) == (want if want <= most else None)
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh ", "aé語😀xyz"])
+def test_many_pairs_at_once(alphabet):
+    """Sizes around the machine word, near and unlike pairs, empty sides, pairs that are too long to go together."""
+    rng = random.Random(alphabet)
+    sizes = [0, 1, 2, 5, 20, 63, 64, 65, 100, 127, 128, 129, 200, 256, 257, 300]
+    pairs = []
+    for t in range(2000):
+        a = "".join(rng.choice(alphabet) for _ in range(rng.choice(sizes)))
+        b = changed(rng, a, rng.randrange(12), alphabet) if t % 3 else [rng.choice(alphabet) for _ in range(rng.choice(sizes))]
+        pairs.append((a, "".join(b)))
+    got = pair_edits.edits_of_pairs(*pair_edits.of_texts([a for a, _ in pairs]), *pair_edits.of_texts([b for _, b in pairs]), distance.sequence_edits)
+    assert got.tolist() == [distance._edits_by_columns(a, b, 10_000) if a and b else len(a) + len(b) for a, b in pairs]
+    words = [(a.split("a"), b.split("a")) for a, b in pairs]
+    got = pair_edits.edits_of_pairs(*split_numbers(words), distance.sequence_edits)
+    assert got.tolist() == [distance._edits_by_columns(a, b, 10_000) for a, b in words]
+    assert pair_edits.edits_of_pairs(*pair_edits.of_texts([]), *pair_edits.of_texts([]), distance.sequence_edits).tolist() == []
+
+
+def split_numbers(pairs):
+    numbers, sizes = pair_edits.of_words([a for a, _ in pairs] + [b for _, b in pairs])
+    cut = int(sizes[: len(pairs)].sum())
+    return numbers[:cut], sizes[: len(pairs)], numbers[cut:], sizes[len(pairs) :]
+
+
 def test_long_near_pairs_are_cheap():
     """20,000 words with 30 edits: far below one column per word; unlike texts are given up early."""
     rng = random.Random(3)
@@ -111,7 +135,7 @@ def test_weighted_aggregates_like_rows(spark, pairs):
     assert scoring.aggregate_scores(none, [], "weight").first()["n"] == 0
     plan = scoring.aggregate_scores(once, ["model"], "weight")._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.rindex("hashpartitioning(") :]
-    assert "partial_count" in below and "levenshtein" not in below  # combined before the shuffle, scored behind it
+    assert "partial_count" in below and "char_errors" not in below  # combined before the shuffle, scored behind it
 
 
 def test_recogniser_is_made_once_per_worker(spark, tmp_path):
