@@ -370,7 +370,7 @@ def a04(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.unhex(F.lit(digits))
 
     w, h = F.col("width"), F.col("height")
-    exif = F.concat(plain("FFD8FFE1"), big(F.length("text") % 60000 + 2, 2), F.substring(F.rpad("text", 60000, "x"), 1, F.length("text") % 60000).cast("binary"))
+    exif = F.concat(plain("FFD8FFE1"), big(F.length("text") % 60000 + 2, 2), F.substring("text", F.lit(1), F.length("text") % 60000).cast("binary"))
     heads = [
         F.concat(plain("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4)),
         F.concat(plain("424D" + 12 * "00" + "28000000"), little(w, 4), little(-h, 4)),

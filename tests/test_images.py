@@ -180,3 +180,16 @@ def test_sizes_of_contents(spark):
     df = spark.createDataFrame(rows, "id int, content binary").select("id", images.content_size(F.col("content")).alias("s"))
     got = {r.id: r.s and tuple(r.s) for r in df.collect()}
     assert got == {k: (7 + k, 9) for k in range(len(FILES))} | {99: None, 98: None, 97: None}
+
+
+def test_image_heads_are_no_longer_than_their_rows(spark, tmp_path):
+    """Sizes of rows around the longest segment; a short row does not cost a padded segment of its own."""
+    from catalog.records import a04
+    from catalog.views import labels
+
+    rows = [(d, "en", "src1", "x" * n) for d, n in enumerate([0, 3, 7000, 59999, 60000, 60001, 130000] * 6, 1)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r.line_no: (r.width, r.height) for r in labels(spark, str(tmp_path)).collect()}
+    out = a04(spark, str(tmp_path))
+    assert {r.line_no: (r.width, r.height) for r in out.collect()} == want
+    assert "rpad(text" not in out._jdf.queryExecution().optimizedPlan().toString()
