@@ -500,7 +500,7 @@ ids as (select split, line_no as no, regexp_replace(regexp_replace(rel_path, '.*
 )
 def b08(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = parsed_lines(spark, sf_dir)
-    return export.export_manifest(lines, export.chat_samples(lines, "/repo/data", "/repo", PROMPT))
+    return export.export_manifest(lines, export.chat_samples(lines, "/repo/data", "/repo", PROMPT), export.FLAT)
 
 
 _TURNS = "ids as (select role as split, {no} as no, conv_id || '-' || turn as part from conversations),\n"
@@ -514,7 +514,10 @@ def turn_ids(spark: SparkSession, sf_dir: str, no: str) -> DataFrame:
     )
 
 
-@query("d19_ordered_ids_hash", "with " + _TURNS.format(no="conv_id * 1000 + turn") + flat_digest("ids") + "\nselect split, part as ids_sha256 from flat")
+@query(
+    "d19_ordered_ids_hash",
+    "with " + _TURNS.format(no="conv_id * 1000 + turn").rstrip(",\n") + "\nselect split, sha256(string_agg(part, chr(10) order by no)) as ids_sha256 from ids group by split",
+)
 def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.ids_digest(turn_ids(spark, sf_dir, "conv_id * 1000 + turn"))
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linewright.functions.text import forward_slashes, portable_path, sample_id
 from linewright.sinks.corpus import chat_record
@@ -40,21 +45,69 @@ def skipped_lines(lines: DataFrame) -> DataFrame:
 
 FAN_IN = 4096
 LEVELS = 5  # 4096 ** 5 is above every line number
-#: Ids of a split up to which one task may hash them in a row.
+#: A limit that `export_manifest` may be given for the flat digest.
 FLAT = 100_000
 
-
-def ids_digest(ids: DataFrame, most: int = FLAT) -> DataFrame:
-    """`ids_sha256` per split: SHA-256 of the newline-joined ids in line order, for splits of at most `most` ids.
-
-    This hash can only be computed from the first id to the last, by one task. Larger splits get NULL; `ids_tree_digest`
-    has a digest for splits of any size.
+_SPLIT, _IDS, _ROWS = 0, 3, 6  # columns of the chunks
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of a sorted batch, joined per split; a chunk has its first and last place, and is NULL without ids."""
+    for batch in batches:
+        splits, ids = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        cuts = [0, *(k for k in range(1, len(splits)) if splits[k] != splits[k - 1]), len(splits)]
+        for start, end in zip(cuts, cuts[1:]):
+            if start == end:
+                continue
+            some = [i for i in ids[start:end] if i is not None]
+            first, last = ([c.slice(k, 1) for c in batch.columns] for k in (start, end - 1))
+            text = pa.array(["\n".join(some) if some else None], pa.string())
+            rows = pa.array([end - start], pa.int64())
+            names = ["split", "line_no", "id", "ids", "last_no", "last_id", "rows"]
+            yield pa.RecordBatch.from_arrays([*first, text, *last[1:], rows], names=names)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each split from its chunks in order; what is held is one batch of chunks and the state of one hash."""
+    split, rows, digest, kind = None, 0, None, None
+
+    def done() -> pa.RecordBatch:
+        columns = [pa.array([split], kind), pa.array([digest.hexdigest()], pa.string()), pa.array([rows], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["split", "ids_sha256", "rows"])
+
+    for batch in batches:
+        kind = batch.column(_SPLIT).type
+        for here, text, n in zip(*(batch.column(k).to_pylist() for k in (_SPLIT, _IDS, _ROWS))):
+            if digest is None or here != split:
+                if digest is not None:
+                    yield done()
+                split, rows, begun, digest = here, 0, False, hashlib.sha256()
+            rows += n
+            if text is not None:
+                digest.update(("\n" + text if begun else text).encode())
+                begun = True
+    if digest is not None:
+        yield done()
+
+
+def ids_digest(ids: DataFrame, most: int | None = None) -> DataFrame:
+    """`ids_sha256` per split: SHA-256 of the newline-joined ids in line order, for splits of any size.
+
+    All tasks sort the ids and join those of a batch to one chunk. The hash itself can only be computed from the first id to
+    the last, so one task per split goes through the split's chunks, a few at a time. With `most`, splits of more ids get NULL.
     """
-    sizes = ids.groupBy("split").agg(F.count("*").alias("n"))
-    short = ids.join(sizes.where(F.col("n") <= most), "split", "left_semi")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("line_no"), F.col("id")))), lambda x: x["id"])
-    hashed = short.groupBy("split").agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("ids_sha256"))
-    return sizes.select("split").join(hashed, "split", "left")
+    key = ["split", "line_no", "id"]
+    rows = ids.select("split", "line_no", F.col("id").cast("string").alias("id"))
+    of = {c: rows.schema[c].dataType for c in key}
+    kinds = {**of, "ids": T.StringType(), "last_no": of["line_no"], "last_id": of["id"], "rows": T.LongType()}
+    ordered = rows.repartitionByRange(*key).sortWithinPartitions(*key)
+    chunks = ordered.mapInArrow(_joined, T.StructType([T.StructField(c, kind) for c, kind in kinds.items()]))
+    # equal places may fill a whole chunk, so its last one counts as well
+    dealt = chunks.repartition("split").sortWithinPartitions(*key, "last_no", "last_id")
+    results = {"split": of["split"], "ids_sha256": T.StringType(), "rows": T.LongType()}
+    hashed = dealt.mapInArrow(_digests, T.StructType([T.StructField(c, kind) for c, kind in results.items()]))
+    value = F.col("ids_sha256") if most is None else F.when(F.col("rows") <= most, F.col("ids_sha256"))
+    return hashed.select("split", value.alias("ids_sha256"))
 
 
 def ids_tree_digest(ids: DataFrame, name: str = "ids_tree_sha256") -> DataFrame:
@@ -71,7 +124,7 @@ def ids_tree_digest(ids: DataFrame, name: str = "ids_tree_sha256") -> DataFrame:
     return level.select("split", F.col("part").alias(name))
 
 
-def export_manifest(lines: DataFrame, samples: DataFrame, most: int = FLAT) -> DataFrame:
+def export_manifest(lines: DataFrame, samples: DataFrame, most: int | None = None) -> DataFrame:
     """Per split: exported samples, skipped lines by reason, both id digests. The skipped lines themselves are a table."""
     counted = with_skip_reason(lines).groupBy("split").agg(
         F.count_if(F.col("reason").isNull()).alias("exported"),

@@ -67,6 +67,20 @@ def test_id_digest_keeps_order(spark):
     assert "SinglePartition" not in plan and "Coalesce 1" not in plan
 
 
+def test_id_digest_of_a_large_split(spark):
+    """More ids than one batch, one partition or any limit; missing ids are left out, repeated ones stay."""
+    n = export.FLAT + 5000
+    rows = spark.range(n).select(F.expr("if(id % 7 = 0, 'b', if(id % 11 = 0, null, 'a'))").alias("split"), (-F.col("id")).alias("line_no"),
+                                 F.expr("if(id % 1000 = 3, null, concat('id', id div 2))").alias("id"))
+    twice = rows.unionByName(rows.where("line_no > -30000").withColumns({"split": F.lit("twice"), "line_no": F.lit(1).cast("long"), "id": F.expr("if(id = 'id1', 'id0', 'id1')")}))
+    want = {}
+    for split, no, i in sorted(((r.split, r.line_no, r.id) for r in twice.collect()), key=lambda r: (str(r[0]), r[1], r[2] or "")):
+        want.setdefault(split, []).extend([] if i is None else [i])
+    got = {r.split: r.ids_sha256 for r in export.ids_digest(twice.repartition(7)).collect()}
+    assert got == {s: hashlib.sha256("\n".join(ids).encode()).hexdigest() for s, ids in want.items()}
+    assert len(want["a"]) > 80_000 and set(want) == {"a", "b", None, "twice"}
+
+
 def test_fraction_samples_are_exact_and_repeatable(spark):
     rows = spark.range(1001).repartition(5)
     for fraction in (0.25, 0.5, 0.75, 1.0, 0.0001):
