@@ -1,11 +1,11 @@
 """Edit distances of (prediction, reference) pairs over characters, words and marks.
 
 Each function gives a struct of `edits`, `reference` and `produced` token counts. Pairs of equal texts, most of a good
-recogniser's, are settled by expressions. Pairs that differ go to an Arrow function that composes them and works through
-all pairs of a batch together (`pair_edits`): the built-in `levenshtein` costs the product of two lengths one cell at a
-time, several times as much for an ordinary line. Pairs that differ over more than 256 tokens are done one by one, by
-diagonals where they are near, else bit-parallel. All ways give the same numbers for any length; there is no length cap.
-Marks of regular texts are few and stay with the built-in function.
+recogniser's, are settled by expressions. Pairs that differ go to an Arrow function that takes all texts of a batch apart at
+once and works through all its pairs together (`pair_edits`): the built-in `levenshtein` costs the product of two lengths one
+cell at a time, several times as much for an ordinary line. Pairs that differ over more than 1,024 tokens are done one by one,
+by diagonals where they are near, else bit-parallel. All ways give the same numbers for any length; there is no length cap.
+Marks are counted there too, but those of ASCII texts, which have none.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Hashable, Sequence
 from math import isqrt
+from operator import ne
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +24,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linewright.functions.pair_edits import edits_of_pairs, of_texts, of_words
+from linewright.functions.pair_edits import code_points, edits_of_pairs, of_texts, split_words
 from linewright.functions.text import word_len
-from linewright.functions.unicode import is_irregular, mark_string, marks_by_letter
+from linewright.functions.unicode import is_ascii, mark_string
 
-#: Characters up to which the marks of a pair, and limits on its distance, are left to the built-in function.
+#: Characters up to which limits on the distance of a pair are left to the built-in function.
 LONG = 250
-#: Characters of pairs that are worked through together, about.
+#: Bytes of pairs that are worked through together, about.
 PART = 1 << 20
+#: Code points below this one are composed whatever stands beside them, and their marks are always the same.
+PLAIN = 0x300
 
 ERRORS = T.StructType([T.StructField(name, T.IntegerType()) for name in ("edits", "reference", "produced")])
 _ARROW_ERRORS = pa.struct([(name, pa.int32()) for name in ERRORS.names])
@@ -56,6 +60,8 @@ def edits_within(a: Sequence[Hashable], b: Sequence[Hashable], most: int) -> int
     least = max(len(a), len(b)) - (Counter(a) & Counter(b)).total()
     if least > most:
         return None
+    if least == _simple_edits(a, b):
+        return least
     # as many diagonals as cost no more than the columns would
     few = min(most, isqrt(min(len(a), len(b)) * (64 + max(len(a), len(b)) // 64) // 128))
     if least <= few:
@@ -65,6 +71,14 @@ def edits_within(a: Sequence[Hashable], b: Sequence[Hashable], most: int) -> int
     return _edits_by_columns(a, b, most)
 
 
+def _simple_edits(a: Sequence[Hashable], b: Sequence[Hashable]) -> int | None:
+    """Edits by replacing only, where the lengths are the same, or by leaving out only, where that does."""
+    if len(a) == len(b):
+        return sum(map(ne, a, b))
+    few, many = (a, iter(b)) if len(a) < len(b) else (b, iter(a))
+    return abs(len(a) - len(b)) if all(token in many for token in few) else None
+
+
 def _limited(distance: int, most: int) -> int | None:
     return distance if distance <= most else None
 
@@ -140,53 +154,107 @@ def _edits_by_columns(a: Sequence[Hashable], b: Sequence[Hashable], most: int) -
     return _limited(distance, most)
 
 
-def _count_errors(pred: pa.Array, gt: pa.Array, tokens: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> pa.Array:
-    """Errors of all pairs of a batch, in parts of bounded size. tokens: those of texts one after the other, and their numbers."""
-    missing = pc.or_(pred.is_null(), gt.is_null())
-    there = pc.invert(missing)
-    p, g = pred.filter(there).to_pylist(), gt.filter(there).to_pylist()
-    counts = np.zeros((3, len(pred)), np.int32)
+class _Texts(NamedTuple):
+    """Composed texts of an array, their code points one after the other, and which texts have some from `PLAIN` on."""
+
+    texts: pa.Array
+    codes: np.ndarray
+    sizes: np.ndarray
+    special: np.ndarray
+
+
+def _composed(texts: pa.Array) -> _Texts:
+    codes, sizes = code_points(texts)
+    special = np.unique(np.searchsorted(np.cumsum(sizes), np.flatnonzero(codes >= PLAIN), "right"))
+    if len(special):
+        chosen = np.zeros(len(texts), bool)
+        chosen[special] = True
+        composed = [unicodedata.normalize("NFC", t) for t in texts.take(pa.array(special)).to_pylist()]
+        texts = pc.replace_with_mask(texts, pa.array(chosen), pa.array(composed, texts.type))
+        codes, sizes = code_points(texts)
+    return _Texts(texts, codes, sizes, special)
+
+
+def _chars(texts: _Texts) -> tuple[np.ndarray, np.ndarray]:
+    return texts.codes, texts.sizes
+
+
+def _words(texts: _Texts) -> tuple[np.ndarray, np.ndarray]:
+    return split_words(texts.texts)
+
+
+_PLAIN_MARKS = [mark_string(chr(c)) for c in range(PLAIN)]
+_N_MARKS = np.array([*map(len, _PLAIN_MARKS), 0])
+_MARK_AT = np.cumsum(_N_MARKS) - _N_MARKS
+_ALL_MARKS = of_texts(_PLAIN_MARKS)[0]
+
+
+def _marks(texts: _Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of plain texts letter by letter, those of the others text by text."""
+    codes = np.minimum(texts.codes, PLAIN)
+    ends = np.cumsum(texts.sizes)
+    codes[np.repeat(np.isin(np.arange(len(ends)), texts.special), texts.sizes)] = PLAIN
+    n = _N_MARKS[codes]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    sizes = upto[ends] - upto[ends - texts.sizes]
+    marked = np.flatnonzero(n)
+    within = np.arange(upto[-1]) - np.repeat(upto[marked], n[marked])
+    marks = _ALL_MARKS[np.repeat(_MARK_AT[codes[marked]], n[marked]) + within]
+    if len(texts.special):
+        others, counts = of_texts([mark_string(t) for t in texts.texts.take(pa.array(texts.special)).to_pylist()])
+        sizes[texts.special] = counts
+        place = np.repeat(np.isin(np.arange(len(ends)), texts.special), sizes)
+        plain, marks = marks, np.empty(len(place), np.uint32)
+        marks[place], marks[~place] = others, plain
+    return marks, sizes
+
+
+_TOKENS: dict[str, Callable[[_Texts], tuple[np.ndarray, np.ndarray]]] = {"char": _chars, "word": _words, "mark": _marks}
+
+
+def _counts(pred: pa.Array, gt: pa.Array, kinds: Sequence[str], share: float | None = None) -> dict[str, np.ndarray]:
+    """Per kind of token the edits, reference and produced tokens of all pairs of an array, in parts of bounded size.
+
+    With `share`, a number of edits above this share of the reference tokens may be any other number above it.
+    """
+    there = pc.and_(pred.is_valid(), gt.is_valid())
+    p, g = pred.filter(there).cast(pa.string()), gt.filter(there).cast(pa.string())
+    counts = {kind: np.zeros((3, len(pred)), np.int32) for kind in kinds}
     places = np.flatnonzero(there.to_numpy(zero_copy_only=False))
+    upto = np.cumsum(pc.add(pc.binary_length(p), pc.binary_length(g)).to_numpy(), dtype=np.int64)
     start = 0
     while start < len(p):
-        end, size = start, 0
-        while end < len(p) and (end == start or size < PART):
-            size += len(p[end]) + len(g[end])
-            end += 1
+        end = max(start + 1, int(np.searchsorted(upto, PART + (upto[start - 1] if start else 0), "right")))
         many = end - start
-        numbers, sizes = tokens(p[start:end] + g[start:end])
-        cut = int(sizes[:many].sum())
-        edits = edits_of_pairs(numbers[:cut], sizes[:many], numbers[cut:], sizes[many:], sequence_edits)
-        counts[:, places[start:end]] = edits, sizes[many:], sizes[:many]
+        texts = _composed(pa.concat_arrays([p.slice(start, many), g.slice(start, many)]))
+        for kind in kinds:
+            numbers, sizes = _TOKENS[kind](texts)
+            cut = int(sizes[:many].sum())
+            most = None if share is None else np.floor(sizes[many:] * share) + 1
+            edits = edits_of_pairs(numbers[:cut], sizes[:many], numbers[cut:], sizes[many:], sequence_edits, most)
+            counts[kind][:, places[start:end]] = edits, sizes[many:], sizes[:many]
         start = end
-    return pa.StructArray.from_arrays([pa.array(c) for c in counts], fields=list(_ARROW_ERRORS), mask=missing)
-
-
-def _char_numbers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return of_texts([unicodedata.normalize("NFC", t) for t in texts])
-
+    return counts
 
-def _word_numbers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return of_words([unicodedata.normalize("NFC", t).split() for t in texts])
 
-
-def _mark_numbers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return of_texts([mark_string(t) for t in texts])
+def _errors_arrow(pred: pa.Array, gt: pa.Array, kind: str) -> pa.Array:
+    missing = pc.or_(pred.is_null(), gt.is_null())
+    return pa.StructArray.from_arrays([pa.array(c) for c in _counts(pred, gt, [kind])[kind]], fields=list(_ARROW_ERRORS), mask=missing)
 
 
 @F.arrow_udf(ERRORS)
 def char_errors_arrow(pred: pa.Array, gt: pa.Array) -> pa.Array:
-    return _count_errors(pred, gt, _char_numbers)
+    return _errors_arrow(pred, gt, "char")
 
 
 @F.arrow_udf(ERRORS)
 def word_errors_arrow(pred: pa.Array, gt: pa.Array) -> pa.Array:
-    return _count_errors(pred, gt, _word_numbers)
+    return _errors_arrow(pred, gt, "word")
 
 
 @F.arrow_udf(ERRORS)
 def mark_errors_arrow(pred: pa.Array, gt: pa.Array) -> pa.Array:
-    return _count_errors(pred, gt, _mark_numbers)
+    return _errors_arrow(pred, gt, "mark")
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -202,11 +270,6 @@ def _is_long(pred: Column, gt: Column) -> Column:
     return F.greatest(F.length(pred), F.length(gt)) > LONG
 
 
-def is_hard(pred: Column, gt: Column) -> Column:
-    """Whether the marks of a pair are left to Python: long, or not composed yet."""
-    return _is_long(pred, gt) | is_irregular(pred) | is_irregular(gt)
-
-
 def _with_hard(udf: Callable[[Column, Column], Column], hard: Column, pred: Column, gt: Column, easy: Column) -> Column:
     return F.coalesce(udf(F.when(hard, pred), F.when(hard, gt)), easy)
 
@@ -221,16 +284,50 @@ def word_errors(pred: Column, gt: Column) -> Column:
     return _with_hard(word_errors_arrow, pred != gt, pred, gt, easy)
 
 
-def mark_errors(pred: Column, gt: Column, hard: Column | None = None) -> Column:
-    """Over the combining marks of the decomposed texts. `hard` is `is_hard` of the pair, where it has been computed."""
-    hard = is_hard(pred, gt) if hard is None else hard
+def mark_errors(pred: Column, gt: Column) -> Column:
+    """Over the combining marks of the decomposed texts."""
+    none = F.when(gt.isNotNull(), F.lit(0))
+    return _with_hard(mark_errors_arrow, ~(is_ascii(pred) & is_ascii(gt)), pred, gt, _errors(none, none, F.lit(0)))
+
+
+def _rates(counts: np.ndarray) -> np.ndarray:
+    """As `rate` gives them."""
+    edits, reference, produced = counts
+    return np.where(reference == 0, (produced > 0).astype(float), edits / np.maximum(reference, 1))
+
+
+#: Rates and what else is made of the counts of a kind of token.
+_OF_KIND: dict[str, dict[str, tuple[T.DataType, Callable[[np.ndarray], np.ndarray]]]] = {
+    "char": {"cer": (T.DoubleType(), _rates)},
+    "word": {"wer": (T.DoubleType(), _rates)},
+    "mark": {
+        "der": (T.DoubleType(), _rates),
+        "mark_edits": (T.IntegerType(), lambda counts: counts[0]),
+        "gt_marks": (T.IntegerType(), lambda counts: counts[1]),
+        "pred_marks": (T.IntegerType(), lambda counts: counts[2]),
+    },
+}
+
+
+def pair_rates(pred: Column, gt: Column, kinds: Sequence[str]) -> Column:
+    """A struct of `cer` (of kind `char`), `wer` (`word`), `der`, `mark_edits`, `gt_marks` and `pred_marks` (`mark`).
+
+    The texts of a pair are sent to Python and taken apart once for all kinds; equal texts have no errors, and stay where
+    their marks need not be counted.
+    """
+    made = {name: how for kind in kinds for name, how in _OF_KIND[kind].items()}
+    of = {name: kind for kind in kinds for name in _OF_KIND[kind]}
+    schema = T.StructType([T.StructField(name, how[0]) for name, how in made.items()])
 
-    def compare(side: Column) -> Column:
-        edits = F.when(side["p"] == side["g"], F.lit(0)).otherwise(F.levenshtein(side["p"], side["g"]))
-        return _errors(edits, F.length(side["g"]), F.length(side["p"]))
+    @F.arrow_udf(schema)
+    def pair_rates_arrow(pred: pa.Array, gt: pa.Array) -> pa.Array:
+        counts = _counts(pred, gt, kinds)
+        missing = pc.or_(pred.is_null(), gt.is_null())
+        return pa.StructArray.from_arrays([pa.array(how(counts[of[name]])) for name, (_, how) in made.items()], names=list(made), mask=missing)
 
-    easy = bind(F.struct(marks_by_letter(pred).alias("p"), marks_by_letter(gt).alias("g")), compare)
-    return _with_hard(mark_errors_arrow, hard, pred, gt, easy)
+    hard = (pred != gt) | ~is_ascii(gt) if "mark" in kinds else pred != gt
+    easy = F.when(pred == gt, F.struct(*[F.lit(0).cast(how[0]).alias(name) for name, how in made.items()]))
+    return _with_hard(pair_rates_arrow, hard, pred, gt, easy)
 
 
 def most_edits(length: Column, threshold: float) -> Column:
@@ -239,36 +336,30 @@ def most_edits(length: Column, threshold: float) -> Column:
     return F.when((near + 1) / length < threshold, near + 1).when(near / length < threshold, near).otherwise(near - 1)
 
 
-_LIMITS = T.StructType([T.StructField("perfect", T.BooleanType()), T.StructField("below", T.BooleanType())])
+_LIMITS = T.StructType([T.StructField(name, T.BooleanType()) for name in ("perfect", "below", "same_marks")])
 
 
 @F.arrow_udf(_LIMITS)
 def char_limits_arrow(pred: pa.Array, gt: pa.Array, threshold: pa.Array) -> pa.Array:
-    rows = []
-    for p, g, t in zip(pred.to_pylist(), gt.to_pylist(), threshold.to_pylist()):
-        if p is None or g is None:
-            rows.append(None)
-            continue
-        p, g = unicodedata.normalize("NFC", p), unicodedata.normalize("NFC", g)
-        most = int(len(g) * t)
-        while most >= 0 and not most / max(len(g), 1) < t:
-            most -= 1
-        while g and (most + 1) / len(g) < t:
-            most += 1
-        rows.append({"perfect": p == g, "below": most >= 0 and edits_within(p, g, most) is not None if g else float(p != g) < t})
-    return pa.array(rows, pa.struct([("perfect", pa.bool_()), ("below", pa.bool_())]))
+    share = threshold[0].as_py() if len(threshold) else 0.0
+    counts = _counts(pred, gt, ["char"], share)["char"]
+    marks = _counts(pred, gt, ["mark"], 0.0)["mark"]
+    found = [counts[0] == 0, _rates(counts) < share, marks[0] == 0]
+    return pa.StructArray.from_arrays([pa.array(f) for f in found], names=_LIMITS.names, mask=pc.or_(pred.is_null(), gt.is_null()))
 
 
 def char_limits(pred: Column, gt: Column, threshold: float) -> Column:
-    """Whether the character error rate is 0 (`perfect`), and whether it is `below` a threshold, without the rate itself.
+    """Whether the character error rate is 0 (`perfect`), and whether it is `below` a threshold, without the rate itself;
+    and whether the marks are the same (`same_marks`).
 
-    Distances are followed only as far as the threshold lets them go.
+    Distances are followed only where the threshold can let them be, those of short ASCII texts only as far as it does.
     """
-    hard = (pred != gt) & is_hard(pred, gt)
+    ascii = is_ascii(pred) & is_ascii(gt)
+    hard = (pred != gt) & (_is_long(pred, gt) | ~ascii)
     most = most_edits(F.length(gt), threshold)
     near = F.when(most < 0, False).otherwise(F.call_function("levenshtein", pred, gt, most) >= 0)
     below = F.when(pred == gt, F.lit(0.0 < threshold)).when(gt == "", F.lit(1.0 < threshold)).otherwise(near)
-    easy = F.struct((pred == gt).alias("perfect"), below.alias("below"))
+    easy = F.struct((pred == gt).alias("perfect"), below.alias("below"), ((pred == gt) | ascii).alias("same_marks"))
     return F.coalesce(char_limits_arrow(F.when(hard, pred), F.when(hard, gt), F.lit(threshold)), easy)
 
 

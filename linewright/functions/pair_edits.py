@@ -1,8 +1,9 @@
 """Edit distances of many pairs at once.
 
 All pairs of a batch are cut to where they differ, and then advance together through their distance matrices: one column per
-step, 64 rows of a column per machine word, one numpy operation for all pairs. Only pairs that still differ over more than
-`LONGEST` tokens are worked through one by one.
+step, 64 rows of a column per machine word, one numpy operation for all words of all pairs. A word is one step behind the word
+above it, whose carry it needs, so pairs of any length share the steps. Only pairs that still differ over more than `LONGEST`
+tokens are worked through one by one.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words of 64 rows that a pair may take here, and pairs that advance together.
-WORDS = 4
-LONGEST = 64 * WORDS
-TOGETHER = 4096
+#: Tokens over which a pair may differ here, and words of 64 rows that advance together, about.
+LONGEST = 1024
+TOGETHER = 8192
 
 _ONE = np.uint64(1)
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,67 +40,119 @@ def _first_difference(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.n
     return common
 
 
-def _matrix(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
-    """Runs as rows, filled up with 0."""
-    out = np.zeros((len(starts), width), tokens.dtype)
-    places, within = _spread(starts, sizes)
-    out[np.repeat(np.arange(len(starts)), sizes), within] = tokens[places]
-    return out
-
-
-def _advance(rows: np.ndarray, steps: np.ndarray, n_rows: np.ndarray, n_steps: np.ndarray) -> np.ndarray:
-    """Distances of pairs, those with most steps first. rows: n x 64 * words, padded with 0, which no step has."""
-    n, words = len(rows), rows.shape[1] // 64
-    up, down = np.full((n, words), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros((n, words), np.uint64)
-    bottom = ((n_rows - 1) % 64).astype(np.uint64)
-    distance = n_rows.astype(np.int64)
-    active = np.searchsorted(-n_steps, -np.arange(n_steps[0]), "left")  # pairs with more than j steps
+def _advance(tokens: np.ndarray, at_rows: np.ndarray, n_rows: np.ndarray, at_steps: np.ndarray, n_steps: np.ndarray) -> np.ndarray:
+    """Distances of pairs of runs of `tokens`, none of them empty; no token is 0, and as many zeros stand first as a pair has words."""
+    words = (n_rows + 63) // 64
+    pair = np.repeat(np.arange(len(words)), words)
+    word = _spread(np.zeros_like(words), words)[1]
+    end = n_steps[pair] + word
+    order = np.argsort(-end, kind="stable")
+    where = np.empty(len(order) + 1, np.int64)
+    where[order] = np.arange(len(order))
+    where[-1] = len(order)  # the top of the matrix lies above the first word of a pair
+    above = where[np.where(word > 0, np.arange(len(order)) - 1, -1)][order]
+    bottoms = where[np.cumsum(words) - 1]
+    pair, word, end = pair[order], word[order], end[order]
+    rows = np.zeros((len(order), 64), tokens.dtype)
+    sizes = np.minimum(n_rows[pair] - 64 * word, 64)
+    places, within = _spread(at_rows[pair] + 64 * word, sizes)
+    rows[np.repeat(np.arange(len(order)), sizes), within] = tokens[places]
+    last = (sizes - 1).astype(np.uint64)
+    at = at_steps[pair] - word
+    up, down, distance = np.empty(len(order), np.uint64), np.empty(len(order), np.uint64), np.empty(len(order), np.int64)
+    plus, minus = np.zeros(len(order) + 1, np.uint64), np.zeros(len(order) + 1, np.uint64)
+    plus[-1] = _ONE
+    first, same = n_rows[pair], np.empty((len(order), 64), bool)
+    active = np.searchsorted(-end, -np.arange(end[0]), "left")  # words that end behind this step
+    latest = int(word.max())
     for j, k in enumerate(active.tolist()):
-        equal = np.packbits(rows[:k] == steps[:k, j : j + 1], axis=1, bitorder="little").view(np.uint64)
-        plus, minus = np.ones(k, np.uint64), np.zeros(k, np.uint64)
-        for w in range(words):
-            own, u, d = equal[:, w], up[:k, w], down[:k, w]
-            vertical = own | d
-            own = own | minus
-            diagonal = (((own & u) + u) ^ u) | own
-            right, left = d | ~(diagonal | u), u & diagonal
-            last = bottom[:k] if w == words - 1 else np.uint64(63)
-            next_plus, next_minus = (right >> last) & _ONE, (left >> last) & _ONE
-            right, left = (right << _ONE) | plus, (left << _ONE) | minus
-            up[:k, w] = left | ~(vertical | right)
-            down[:k, w] = right & vertical
-            plus, minus = next_plus, next_minus
-        distance[:k] += plus.astype(np.int64) - minus.astype(np.int64)
-    return distance
+        if j <= latest:  # what a word did before its own first step does not count
+            new = np.flatnonzero(word == j)
+            up[new], down[new], distance[new] = _FULL, 0, first[new]
+        np.equal(rows[:k], tokens[at[:k] + j][:, None], same[:k])
+        equal = np.packbits(same[:k].reshape(-1), bitorder="little").view(np.uint64)
+        u, d = up[:k], down[:k]
+        carry_plus, carry_minus = plus[above[:k]], minus[above[:k]]
+        vertical = equal | d
+        equal |= carry_minus
+        diagonal = equal & u
+        diagonal += u
+        diagonal ^= u
+        diagonal |= equal
+        diagonal |= d
+        right = diagonal | u
+        np.invert(right, right)
+        right |= d
+        left = u & diagonal
+        out = right >> last[:k]
+        out &= _ONE
+        plus[:k] = out
+        distance[:k] += out.view(np.int64)
+        np.right_shift(left, last[:k], out)
+        out &= _ONE
+        minus[:k] = out
+        distance[:k] -= out.view(np.int64)
+        right <<= _ONE
+        right |= carry_plus
+        left <<= _ONE
+        left |= carry_minus
+        np.bitwise_and(right, vertical, d)
+        vertical |= right
+        np.invert(vertical, vertical)
+        np.bitwise_or(left, vertical, u)
+    return distance[bottoms]
+
+
+def _small(tokens: np.ndarray) -> np.ndarray:
+    """The same tokens under numbers from 1 on, in as few bytes as they need."""
+    most = int(tokens.max(initial=0))
+    if 255 <= most < 1 << 21:
+        numbers = np.zeros(most + 1, np.int32)
+        numbers[tokens] = 1
+        numbers = np.cumsum(numbers, dtype=np.int32)
+        return numbers.astype(np.min_scalar_type(int(numbers[-1])))[tokens]
+    return tokens.astype(np.min_scalar_type(most + 1)) + 1
 
 
 def edits_of_pairs(
-    a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, one: Callable[[Sequence, Sequence], int]
+    a: np.ndarray,
+    n_a: np.ndarray,
+    b: np.ndarray,
+    n_b: np.ndarray,
+    one: Callable[[Sequence, Sequence], int],
+    most: np.ndarray | None = None,
 ) -> np.ndarray:
     """Edit distance of each pair. a, b: tokens of all pairs one after the other, as whole numbers; n_a, n_b: how many each has.
 
-    `one` does a pair that is too long for this.
+    `one` does a pair that is too long for this. A pair whose sizes differ by more than its `most` edits is not followed: it
+    gets that difference.
     """
-    tokens = np.concatenate([a, b])
-    tokens = tokens.astype(np.min_scalar_type(int(tokens.max(initial=0)) + 1)) + 1
-    a, b = tokens[: len(a)], tokens[len(a) :]
-    at_a, at_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-    head = _first_difference(a, b, at_a, at_b, np.minimum(n_a, n_b), 1)
-    tail = _first_difference(a, b, at_a + n_a - 1, at_b + n_b - 1, np.minimum(n_a, n_b) - head, -1)
+    front = LONGEST // 64
+    tokens = np.concatenate([np.zeros(front, np.uint8), _small(np.concatenate([a, b]))])
+    at_a, at_b = front + np.cumsum(n_a) - n_a, front + len(a) + np.cumsum(n_b) - n_b
+    head = _first_difference(tokens, tokens, at_a, at_b, np.minimum(n_a, n_b), 1)
+    tail = _first_difference(tokens, tokens, at_a + n_a - 1, at_b + n_b - 1, np.minimum(n_a, n_b) - head, -1)
     at_a, at_b, n_a, n_b = at_a + head, at_b + head, n_a - head - tail, n_b - head - tail
     short, long = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     out = long.astype(np.int64)
-    for k in np.flatnonzero((short > 0) & (long > LONGEST)).tolist():
-        out[k] = one(a[at_a[k] : at_a[k] + n_a[k]].tolist(), b[at_b[k] : at_b[k] + n_b[k]].tolist())
-    for words in range(1, WORDS + 1):
-        here = np.flatnonzero((short > 0) & (long <= 64 * words) & (long > 64 * (words - 1)))
-        here = here[np.argsort(-short[here], kind="stable")]
-        for start in range(0, len(here), TOGETHER):
-            k = here[start : start + TOGETHER]
-            swap = n_a[k] >= n_b[k]  # the longer side makes the rows
-            rows = _matrix(tokens, np.where(swap, at_a[k], len(a) + at_b[k]), long[k], 64 * words)
-            steps = _matrix(tokens, np.where(swap, len(a) + at_b[k], at_a[k]), short[k], int(short[k[0]]))
-            out[k] = _advance(rows, steps, long[k], short[k])
+    open_ = short > 0
+    if most is not None:
+        apart = long - short
+        out = np.where(apart > most, apart, out)
+        open_ &= apart <= most
+    for k in np.flatnonzero(open_ & (long > LONGEST)).tolist():
+        out[k] = one(tokens[at_a[k] : at_a[k] + n_a[k]].tolist(), tokens[at_b[k] : at_b[k] + n_b[k]].tolist())
+    here = np.flatnonzero(open_ & (long <= LONGEST))
+    words = np.cumsum((long[here] + 63) // 64)
+    start = 0
+    while start < len(here):
+        done = words[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(words, done + TOGETHER, "right")))
+        k = here[start:end]
+        swap = n_a[k] >= n_b[k]  # the longer side makes the rows
+        rows, steps = np.where(swap, at_a[k], at_b[k]), np.where(swap, at_b[k], at_a[k])
+        out[k] = _advance(tokens, rows, long[k], steps, short[k])
+        start = end
     return out
 
 
@@ -111,3 +166,23 @@ def of_words(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     known: dict[str, int] = {}
     numbers = [known.setdefault(w, len(known)) for words in texts for w in words]
     return np.array(numbers, np.int64), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts of an array without nulls, as `of_texts` gives them."""
+    if not len(texts):
+        return of_texts([])
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]]
+    return np.frombuffer(str(data, "utf-8").encode("utf-32-le"), "<u4"), pc.utf8_length(texts).to_numpy().astype(np.int64)
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the texts of an array without nulls, as `of_words` gives them; white space is that of `str.split`."""
+    lists = pc.utf8_split_whitespace(texts)
+    words = lists.flatten()
+    there = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    numbers = words.filter(pa.array(there)).dictionary_encode().indices.to_numpy().astype(np.int64)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+    upto = np.concatenate([[0], np.cumsum(there)])[ends]
+    return numbers, np.diff(upto, prepend=0)
