@@ -24,8 +24,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linewright.functions.pair_edits import code_points, edits_of_pairs, of_texts, split_words
-from linewright.functions.text import word_len
+from linewright.functions.pair_edits import code_points, edits_of_runs, of_texts, split_words
 from linewright.functions.unicode import is_ascii, mark_string
 
 #: Characters up to which limits on the distance of a pair are left to the built-in function.
@@ -167,10 +166,10 @@ def _composed(texts: pa.Array) -> _Texts:
     codes, sizes = code_points(texts)
     special = np.unique(np.searchsorted(np.cumsum(sizes), np.flatnonzero(codes >= PLAIN), "right"))
     if len(special):
-        chosen = np.zeros(len(texts), bool)
-        chosen[special] = True
         composed = [unicodedata.normalize("NFC", t) for t in texts.take(pa.array(special)).to_pylist()]
-        texts = pc.replace_with_mask(texts, pa.array(chosen), pa.array(composed, texts.type))
+        place = np.arange(len(texts))
+        place[special] = len(texts) + np.arange(len(special))
+        texts = pa.concat_arrays([texts, pa.array(composed, texts.type)]).take(pa.array(place))
         codes, sizes = code_points(texts)
     return _Texts(texts, codes, sizes, special)
 
@@ -184,22 +183,24 @@ def _words(texts: _Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 _PLAIN_MARKS = [mark_string(chr(c)) for c in range(PLAIN)]
-_N_MARKS = np.array([*map(len, _PLAIN_MARKS), 0])
+_N_MARKS = np.array([*map(len, _PLAIN_MARKS)])
+FIRST_MARKED = int(np.flatnonzero(_N_MARKS)[0])
 _MARK_AT = np.cumsum(_N_MARKS) - _N_MARKS
 _ALL_MARKS = of_texts(_PLAIN_MARKS)[0]
 
 
 def _marks(texts: _Texts) -> tuple[np.ndarray, np.ndarray]:
     """Marks of plain texts letter by letter, those of the others text by text."""
-    codes = np.minimum(texts.codes, PLAIN)
     ends = np.cumsum(texts.sizes)
-    codes[np.repeat(np.isin(np.arange(len(ends)), texts.special), texts.sizes)] = PLAIN
+    place = np.flatnonzero(texts.codes >= FIRST_MARKED)  # an ordinary text has few
+    if len(texts.special):
+        place = place[~np.isin(np.searchsorted(ends, place, "right"), texts.special)]
+    codes = texts.codes[place]
     n = _N_MARKS[codes]
     upto = np.concatenate([[0], np.cumsum(n)])
-    sizes = upto[ends] - upto[ends - texts.sizes]
-    marked = np.flatnonzero(n)
-    within = np.arange(upto[-1]) - np.repeat(upto[marked], n[marked])
-    marks = _ALL_MARKS[np.repeat(_MARK_AT[codes[marked]], n[marked]) + within]
+    sizes = np.diff(upto[np.searchsorted(place, ends)], prepend=0)
+    within = np.arange(upto[-1]) - np.repeat(upto[:-1], n)
+    marks = _ALL_MARKS[np.repeat(_MARK_AT[codes], n) + within]
     if len(texts.special):
         others, counts = of_texts([mark_string(t) for t in texts.texts.take(pa.array(texts.special)).to_pylist()])
         sizes[texts.special] = counts
@@ -226,13 +227,16 @@ def _counts(pred: pa.Array, gt: pa.Array, kinds: Sequence[str], share: float | N
     while start < len(p):
         end = max(start + 1, int(np.searchsorted(upto, PART + (upto[start - 1] if start else 0), "right")))
         many = end - start
-        texts = _composed(pa.concat_arrays([p.slice(start, many), g.slice(start, many)]))
+        # a reference stands in many pairs, and lines repeat: every text is taken apart once
+        each = pa.concat_arrays([p.slice(start, many), g.slice(start, many)]).dictionary_encode()
+        which = each.indices.to_numpy()
+        texts = _composed(each.dictionary)
         for kind in kinds:
             numbers, sizes = _TOKENS[kind](texts)
-            cut = int(sizes[:many].sum())
-            most = None if share is None else np.floor(sizes[many:] * share) + 1
-            edits = edits_of_pairs(numbers[:cut], sizes[:many], numbers[cut:], sizes[many:], sequence_edits, most)
-            counts[kind][:, places[start:end]] = edits, sizes[many:], sizes[:many]
+            at, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
+            most = None if share is None else np.floor(n[many:] * share) + 1
+            edits = edits_of_runs(numbers, at[:many], n[:many], at[many:], n[many:], sequence_edits, most)
+            counts[kind][:, places[start:end]] = edits, n[many:], n[:many]
         start = end
     return counts
 
@@ -257,11 +261,6 @@ def mark_errors_arrow(pred: pa.Array, gt: pa.Array) -> pa.Array:
     return _errors_arrow(pred, gt, "mark")
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate a value once and use it several times, however the optimizer arranges the projections around it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _errors(edits: Column, reference: Column, produced: Column) -> Column:
     return F.struct(edits.alias("edits"), reference.alias("reference"), produced.alias("produced"))
 
@@ -280,8 +279,8 @@ def char_errors(pred: Column, gt: Column) -> Column:
 
 
 def word_errors(pred: Column, gt: Column) -> Column:
-    easy = bind(word_len(gt), lambda n: _errors(F.lit(0), n, n))
-    return _with_hard(word_errors_arrow, pred != gt, pred, gt, easy)
+    # words are counted there as well: equal texts cost little more than their references, which other pairs need
+    return word_errors_arrow(pred, gt)
 
 
 def mark_errors(pred: Column, gt: Column) -> Column:

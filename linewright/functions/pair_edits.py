@@ -29,17 +29,35 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(starts, sizes) + within, within
 
 
-def _first_difference(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, sizes: np.ndarray, step: int) -> np.ndarray:
-    """How many tokens two runs have in common from their first places on, going by `step`."""
-    common = sizes.copy()
-    within = _spread(at_a, sizes)[1]
-    differ = np.flatnonzero(a[np.repeat(at_a, sizes) + step * within] != b[np.repeat(at_b, sizes) + step * within])
-    owner = np.repeat(np.arange(len(sizes)), sizes)[differ]
-    first = np.diff(owner, prepend=-1) > 0
-    common[owner[first]] = within[differ[first]]
+def _common(tokens: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, sizes: np.ndarray, step: int) -> np.ndarray:
+    """How many tokens two runs have in common from their first places on, going by `step`; looked at in stretches of doubling length."""
+    common = np.zeros(len(sizes), np.int64)
+    left, width = np.flatnonzero(sizes > 0), 8
+    while len(left):
+        within = np.arange(width)
+        far = common[left]
+        a, b = ((at[left] + step * far)[:, None] + step * within for at in (at_a, at_b))
+        differ = tokens.take(a, mode="clip") != tokens.take(b, mode="clip")
+        differ |= within >= (sizes[left] - far)[:, None]
+        first = differ.argmax(axis=1)
+        over = differ[np.arange(len(left)), first]
+        common[left] += np.where(over, first, width)
+        left, width = left[~over], 2 * width
     return common
 
 
+def _left_out(tokens: np.ndarray, at_few: np.ndarray, n_few: np.ndarray, at_many: np.ndarray, n_many: np.ndarray) -> np.ndarray:
+    """Whether a run becomes the other one by leaving out tokens; `LONGEST` more tokens than there are stand last."""
+    order = np.argsort(-n_many, kind="stable")
+    at_few, at_many, found = at_few[order], at_many[order], np.zeros(len(order), np.int64)
+    active = np.searchsorted(-n_many[order], -np.arange(n_many.max(initial=0)), "left")
+    for j, k in enumerate(active.tolist()):
+        found[:k] += tokens[at_few[:k] + found[:k]] == tokens[at_many[:k] + j]
+    out = np.empty(len(order), bool)
+    out[order] = found >= n_few[order]
+    return out
+
+
 def _advance(tokens: np.ndarray, at_rows: np.ndarray, n_rows: np.ndarray, at_steps: np.ndarray, n_steps: np.ndarray) -> np.ndarray:
     """Distances of pairs of runs of `tokens`, none of them empty; no token is 0, and as many zeros stand first as a pair has words."""
     words = (n_rows + 63) // 64
@@ -115,43 +133,56 @@ def _small(tokens: np.ndarray) -> np.ndarray:
 
 
 def edits_of_pairs(
-    a: np.ndarray,
+    a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, one: Callable[[Sequence, Sequence], int]
+) -> np.ndarray:
+    """Edit distance of each pair. a, b: tokens of all pairs one after the other, as whole numbers; n_a, n_b: how many each has."""
+    return edits_of_runs(np.concatenate([a, b]), np.cumsum(n_a) - n_a, n_a, len(a) + np.cumsum(n_b) - n_b, n_b, one)
+
+
+def edits_of_runs(
+    tokens: np.ndarray,
+    at_a: np.ndarray,
     n_a: np.ndarray,
-    b: np.ndarray,
+    at_b: np.ndarray,
     n_b: np.ndarray,
     one: Callable[[Sequence, Sequence], int],
     most: np.ndarray | None = None,
 ) -> np.ndarray:
-    """Edit distance of each pair. a, b: tokens of all pairs one after the other, as whole numbers; n_a, n_b: how many each has.
+    """Edit distances of pairs of runs of `tokens`, given by their first places and sizes.
 
     `one` does a pair that is too long for this. A pair whose sizes differ by more than its `most` edits is not followed: it
     gets that difference.
     """
     front = LONGEST // 64
-    tokens = np.concatenate([np.zeros(front, np.uint8), _small(np.concatenate([a, b]))])
-    at_a, at_b = front + np.cumsum(n_a) - n_a, front + len(a) + np.cumsum(n_b) - n_b
-    head = _first_difference(tokens, tokens, at_a, at_b, np.minimum(n_a, n_b), 1)
-    tail = _first_difference(tokens, tokens, at_a + n_a - 1, at_b + n_b - 1, np.minimum(n_a, n_b) - head, -1)
+    tokens = np.concatenate([np.zeros(front, np.uint8), _small(tokens), np.zeros(LONGEST + 1, np.uint8)])
+    at_a, at_b = front + at_a, front + at_b
+    head = _common(tokens, at_a, at_b, np.minimum(n_a, n_b), 1)
+    tail = _common(tokens, at_a + n_a - 1, at_b + n_b - 1, np.minimum(n_a, n_b) - head, -1)
     at_a, at_b, n_a, n_b = at_a + head, at_b + head, n_a - head - tail, n_b - head - tail
+    swap = n_a >= n_b  # the longer side makes the rows
+    at_long, at_short = np.where(swap, at_a, at_b), np.where(swap, at_b, at_a)
     short, long = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     out = long.astype(np.int64)
-    open_ = short > 0
+    left = short > 0
     if most is not None:
         apart = long - short
         out = np.where(apart > most, apart, out)
-        open_ &= apart <= most
-    for k in np.flatnonzero(open_ & (long > LONGEST)).tolist():
-        out[k] = one(tokens[at_a[k] : at_a[k] + n_a[k]].tolist(), tokens[at_b[k] : at_b[k] + n_b[k]].tolist())
-    here = np.flatnonzero(open_ & (long <= LONGEST))
+        left &= apart <= most
+    for k in np.flatnonzero(left & (long > LONGEST)).tolist():
+        out[k] = one(tokens[at_long[k] : at_long[k] + long[k]].tolist(), tokens[at_short[k] : at_short[k] + short[k]].tolist())
+    # no pair has fewer edits than its sizes differ by
+    here = np.flatnonzero(left & (long <= LONGEST) & (long > short))
+    plain = here[_left_out(tokens, at_short[here], short[here], at_long[here], long[here])]
+    out[plain] = long[plain] - short[plain]
+    left[plain] = False
+    here = np.flatnonzero(left & (long <= LONGEST))
     words = np.cumsum((long[here] + 63) // 64)
     start = 0
     while start < len(here):
         done = words[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(words, done + TOGETHER, "right")))
         k = here[start:end]
-        swap = n_a[k] >= n_b[k]  # the longer side makes the rows
-        rows, steps = np.where(swap, at_a[k], at_b[k]), np.where(swap, at_b[k], at_a[k])
-        out[k] = _advance(tokens, rows, long[k], steps, short[k])
+        out[k] = _advance(tokens, at_long[k], long[k], at_short[k], short[k])
         start = end
     return out
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linewright.functions.distance import char_limits, pair_rates
 from linewright.functions.text import round_n
 from linewright.operators.lengths import exact_median
+from linewright.operators.pairs import pair_counts
 
 
 def with_char_errors(pairs: DataFrame) -> DataFrame:
@@ -45,8 +46,7 @@ def distinct_pairs(pairs: DataFrame, by: list[str]) -> DataFrame:
     Scoring costs the product of two lengths, counting costs their sum: blank lines, headers and boilerplate, which may be
     a third of all rows, are combined before the shuffle and scored once. Give `weight` to the aggregates.
     """
-    pairs = pairs.select(*by, F.coalesce("pred", F.lit("")).alias("pred"), "gt")
-    return pairs.groupBy(*by, "pred", "gt").agg(F.count("*").alias("weight"))
+    return pair_counts(pairs.select(*by, F.coalesce("pred", F.lit("")).alias("pred"), "gt"), "weight")
 
 
 def _rows(weight: str | None, condition: Column | None = None) -> Column:
