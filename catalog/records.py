@@ -15,6 +15,7 @@ from catalog.text import LINES, label_lines
 from catalog.views import PAIRS, SCORED, documents, labels, pairs, rounded, sql, table
 from linewright.functions.text import classify_param, phantom_flag
 from linewright.operators import audit, charset, export, keep, runs, sampling, scoring
+from linewright.operators.pairs import pair_counts
 from linewright.session import scratch_dir
 from linewright.sinks import corpus as corpus_sinks
 from linewright.sinks import runs as run_sinks
@@ -589,7 +590,7 @@ def b05(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "scored")
     corpus_sinks.scored_rows_sink(scoring.score_rows(pairs(spark, sf_dir)), path)
     rows = records.read_scored_rows(spark, path).withColumns({m: F.round(m, 6) for m in ("cer", "wer", "der")})
-    return rows.groupBy("pred", "gt", "cer", "wer", "der").agg(F.count("*").alias("n"))
+    return pair_counts(rows.select("pred", "gt", "cer", "wer", "der"), "n")
 
 
 @query(

@@ -29,8 +29,14 @@ def char_dict_sink(chars: DataFrame, path: str) -> None:
     chars.select(F.col("ch").alias("value")).orderBy("value").coalesce(1).write.mode("overwrite").text(path)
 
 
+#: Scored rows of one file, which one task reads.
+ROWS_A_FILE = 500_000
+
+
 def scored_rows_sink(scored: DataFrame, path: str) -> None:
-    scored.select("pred", "gt", "cer", "wer", "der").write.mode("overwrite").json(path)
+    """Scored rows as JSON lines in files packed by gzip: a reference and its prediction are nearly the same text."""
+    rows = scored.select("pred", "gt", "cer", "wer", "der").write.mode("overwrite")
+    rows.option("maxRecordsPerFile", ROWS_A_FILE).json(path, compression="gzip")
 
 
 def report_sink(report: DataFrame, path: str) -> None:
