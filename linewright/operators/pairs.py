@@ -21,7 +21,7 @@ SHORT = 16
 _PARTS = 1024
 #: Lots that references are dealt to, and bytes of pairs that a task combines and packs at once, about.
 LOTS = 512
-AT_ONCE = 32 << 20
+AT_ONCE = 64 << 20
 
 
 def _combined(rows: pa.Table, keys: list[str], counts: list[tuple]) -> pa.Table:
@@ -42,6 +42,7 @@ def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per lot the references with lists of their distinct rows and of how many there are of each, compressed."""
+    zstd = pa.Codec("zstd", compression_level=3)
     for rows in _collected(batches):
         rows = _combined(rows, rows.column_names, [([], "count_all")])
         same = pc.fill_null(pc.equal(rows["pred"], rows["gt"]), False)
@@ -58,7 +59,7 @@ def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             with pa.ipc.new_stream(out, nested.schema) as stream:
                 stream.write_table(nested.slice(start, end - start))
             plain = out.getvalue()
-            columns = [pa.array([int(lots[start])], pa.int32()), pa.array([plain.size], pa.int64()), pa.array([pa.compress(plain, "zstd", asbytes=True)])]
+            columns = [pa.array([int(lots[start])], pa.int32()), pa.array([plain.size], pa.int64()), pa.array([zstd.compress(plain, asbytes=True)])]
             yield pa.RecordBatch.from_arrays(columns, names=["_lot", "size", "packed"])
 
 
