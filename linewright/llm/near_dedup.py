@@ -130,7 +130,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def one_of_equal(rows: DataFrame) -> DataFrame:
-    """The buckets of rows (bucket, rep, n) that have two members or more, one of those with the same members."""
+    """The buckets of rows (bucket, rep, n) that have two members or more, one of those with the same members.
+
+    The planner takes an exploded row for one element, so rows and what is counted from them look far smaller than they
+    are. The kept buckets are written, to be sized by their files, and a semi join never sends its left side, the rows.
+    """
     kept = (
         rows.groupBy("bucket")
         .agg(F.count("*").alias("size"), F.min("rep").alias("first"), F.max("rep").alias("last"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("sum"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("xor"))
@@ -138,7 +142,7 @@ def one_of_equal(rows: DataFrame) -> DataFrame:
         .groupBy("size", "first", "last", "sum", "xor")
         .agg(F.min("bucket").alias("bucket"))
     )
-    return rows.join(kept.select("bucket"), "bucket")
+    return rows.join(staged(kept.select("bucket"), "kept-buckets"), "bucket", "left_semi")
 
 
 def with_links(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
@@ -156,7 +160,11 @@ def with_links(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def with_hubs(members: DataFrame) -> DataFrame:
-    """members (bucket, rep, n) with hub and its size m, the member that has the largest buckets together (ties: the smallest id)."""
+    """members (bucket, rep, n) with hub and its size m, the member that has the largest buckets together (ties: the smallest id).
+
+    The files of members are small for their rows where buckets are large, so all joins here are told to shuffle.
+    """
+    members = members.hint("merge")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     weights = members.join(sizes, "bucket").groupBy("rep").agg(F.sum("size").alias("weight"))
     hubs = members.join(weights, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("id"), "n")).alias("top"))
@@ -202,10 +210,13 @@ def counted_shingles(rest: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def pairs_on_rare_shingles(counted: DataFrame, percent: int) -> DataFrame:
-    """rep, hub over different components that have a rare shingle of both prefixes in common; each shingle has at most RARE."""
+    """rep, hub over different components that have a rare shingle of both prefixes in common; each shingle has at most RARE.
+
+    Both sides are exploded, which the planner sizes too low, so the join is told to shuffle.
+    """
     x = counted.select(F.explode("prefix").alias("shingle"), "rep", "n", "component")
     y = x.select("shingle", F.col("rep").alias("hub"), F.col("n").alias("m"), F.col("component").alias("c"))
-    return x.join(y, "shingle").where((F.col("rep") > F.col("hub")) & (F.col("component") != F.col("c")) & near_sizes("n", "m", percent)).select("rep", "hub").distinct()
+    return x.join(y.hint("merge"), "shingle").where((F.col("rep") > F.col("hub")) & (F.col("component") != F.col("c")) & near_sizes("n", "m", percent)).select("rep", "hub").distinct()
 
 
 def pairs_with_hubs(members: DataFrame, first: int, last: int, percent: int) -> DataFrame:

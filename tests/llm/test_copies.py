@@ -108,6 +108,44 @@ def test_buckets_are_looked_at_until_all_components_are_settled(spark):
     assert got == components_by_hand(rows, 3, 85)
 
 
+def broadcasts(df):
+    """For each broadcast that df's plan begins with, the operators below it."""
+    depth, found = [], []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        node = line.lstrip(" :+-")
+        own = len(line) - len(node)
+        depth = [(d, below) for d, below in depth if d < own]
+        for _, below in depth:
+            below.append(node.split(" ")[0])
+        if node.startswith("BroadcastExchange"):
+            depth.append((own, []))
+            found.append(depth[-1][1])
+    return found
+
+
+def test_no_exploded_table_is_broadcast_on_an_estimate(spark):
+    """The planner counts one element for each exploded row, and files that pack equal values are small for their rows:
+    neither says how many rows would go to the driver."""
+    rng = random.Random(9)
+    w = cases.prose(rng, 200, 9000).split()
+    rows = [(k, " ".join(x if rng.random() < 0.93 else f"z{k}.{i}" for i, x in enumerate(w)), "s", "en") for k in range(14)]
+    signed = near_dedup.staged(near_dedup.signatures(cases.frame(spark, rows)).withColumnRenamed("doc_id", "rep"), "classes")
+    found = near_dedup.buckets(signed)
+    assert not any("Generate" in below for below in broadcasts(found))
+    halves = {r.rep: r.halves for r in signed.collect()}
+    keys = [frozenset(k for k, h in halves.items() if (h[i], h[j]) == pair) for i in range(8) for j in range(8, 16) for pair in {(h[i], h[j]) for h in halves.values()}]
+    members = defaultdict(set)
+    for r in found.collect():
+        members[r.bucket].add(r.rep)
+    assert Counter(map(frozenset, members.values())) == Counter({k: 1 for k in keys if len(k) > 1}) and members
+
+    written = near_dedup.staged(found, "buckets")
+    assert not broadcasts(near_dedup.with_hubs(written))
+    counted = spark.createDataFrame([(1, 10, 1, 0, [5, 6]), (2, 10, 2, 0, [6, 7]), (3, 10, 2, 0, [7]), (4, 90, 4, 0, [5])], "rep long, n int, component long, frequent int, prefix array<long>")
+    pairs = near_dedup.pairs_on_rare_shingles(near_dedup.staged(counted, "shingles"), 80)
+    assert not broadcasts(pairs) and [tuple(r) for r in pairs.collect()] == [(2, 1)]
+
+
 def passages_by_hand(rows, length):
     texts = defaultdict(set)
     for i, t, *_ in rows:
